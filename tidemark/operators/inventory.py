@@ -82,7 +82,7 @@ def lookup(inventory: DataFrame, key) -> DataFrame:
 
 def bulk_lookup(inventory: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of the asked SKUs, one per SKU (``keys`` has a column ``sku``)."""
-    asked = keys.select(F.upper("sku").alias("sku"))
+    asked = keys.select(F.upper("sku").alias("sku")).distinct()
     return with_available(inventory).join(asked, "sku", "left_semi").select(
         "sku", "warehouse", "cost_price", "msrp", "qty_on_hand", "qty_reserved",
         "available_qty", "lead_time_days",

@@ -50,12 +50,15 @@ def table_checks(df: DataFrame, table: str) -> DataFrame:
 
 
 def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Child rows whose parent does not exist (a null key has no parent)."""
-    keys = parents.select(F.col(parent_key).alias(child_key))
+    """Child rows whose parent does not exist (a null key has no parent).
+
+    Parent keys are reduced to distinct ones first: repeats of a key meet once per task.
+    """
+    keys = parents.select(F.col(parent_key).alias(child_key)).distinct()
     return children.join(keys, child_key, "left_anti")
 
 
 def without_orphans(children: DataFrame, parents: DataFrame, child_key: str,
                     parent_key: str) -> DataFrame:
-    keys = parents.select(F.col(parent_key).alias(child_key))
+    keys = parents.select(F.col(parent_key).alias(child_key)).distinct()
     return children.join(keys, child_key, "left_semi")

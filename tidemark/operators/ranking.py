@@ -8,6 +8,7 @@ from tidemark import fixed_values as fv
 from tidemark.functions.scalars import as_col, round_even
 from tidemark.functions.stock import priority_score, rounded_metrics
 from tidemark.operators.demand import candidates, month_totals, sku_metrics
+from tidemark.session import materialise
 
 
 def hero_products(days: DataFrame, products: DataFrame, inventory: DataFrame, config: DataFrame,
@@ -21,8 +22,9 @@ def hero_products(days: DataFrame, products: DataFrame, inventory: DataFrame, co
     uses full precision.
     """
     c = F.col
-    chosen = candidates(month_totals(days, config), n)
-    # campaigns x (max(5n, 30) + 2n) rows at most, so both broadcasts below are bounded.
+    # campaigns x (max(5n, 30) + 2n) rows at most, so the broadcasts below are bounded. The
+    # rows are read three times and cost a full scan, so they are written once.
+    chosen = materialise(candidates(month_totals(days, config), n), "candidates")
     chosen_skus = F.broadcast(chosen.select("sku").distinct())
     chosen_days = days_of(chosen_skus) if days_of else days.join(chosen_skus, "sku", "left_semi")
     metrics = sku_metrics(chosen_days, inventory, as_of)

@@ -607,8 +607,8 @@ ORACLES: dict[str, str] = {
         CASE WHEN m < 60 THEN m || 'm remaining' ELSE (m // 60) || 'h ' || (m % 60) || 'm' END AS cover
       FROM (SELECT *, CAST(FLOOR(eta_oos_mins) AS BIGINT) AS m FROM watch)"""),
     "live_critical": twin("""
-      SELECT hour_start, COUNT(*) AS critical_count, MIN(eta_oos_mins) AS least_minutes FROM closed_etas
-      WHERE eta_oos_mins < 20 GROUP BY 1"""),
+      SELECT hour_start, COUNT(*) FILTER (eta_oos_mins < 20) AS critical_count,
+        MIN(eta_oos_mins) AS least_minutes FROM closed_etas GROUP BY 1"""),
     "live_ticker": twin("SELECT event_id, ts, user_id, value, sku FROM sold ORDER BY ts DESC, event_id DESC LIMIT 10"),
     "live_sessions": twin("""
       SELECT user_id, session_start, session_end, n_events FROM all_sessions

@@ -621,10 +621,10 @@ def live_watchlist(x):
 
 @query
 def live_critical(x):
-    """SKU-hours about to sell out and their number per hour."""
-    rows = live.critical(sku_etas(x))
-    return rows.groupBy("hour_start").agg(
-        F.count(F.lit(1)).alias("critical_count"), F.min("eta_oos_mins").alias("least_minutes")
+    """Per hour the number of SKUs about to sell out and the shortest time left."""
+    return sku_etas(x).groupBy("hour_start").agg(
+        F.count_if(ranking.is_critical()).alias("critical_count"),
+        F.min("eta_oos_mins").alias("least_minutes"),
     )
 
 

@@ -54,10 +54,32 @@ LIVE_DOCUMENT = _struct(
     " liveSalesHistory array<struct<name: string, etaMins: bigint, time: timestamp>>"
 )
 
-EVENTS = _struct(
-    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,"
-    " props string"
-)
+# The star-schema source tables; given to the reader, so no file is opened to infer them.
+STAR = {
+    "nation": _struct("n_nationkey int, n_name string, n_regionkey int"),
+    "customer": _struct(
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "part": _struct(
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+        " p_retailprice double"
+    ),
+    "orders": _struct(
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+        " o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": _struct(
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+        " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+        " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": _struct(
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,"
+        " props string"
+    ),
+    "conversations": _struct("conv_id bigint, turn bigint, role string, text string"),
+}
+EVENTS = STAR["events"]
 
 # The relational tables: schema, defaults for missing values, required columns, unique key.
 TABLES = {

@@ -4,11 +4,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exact import exact_sum
-from tidemark.schemas import EVENTS
+from tidemark.schemas import EVENTS, STAR
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}.parquet")
+    return spark.read.schema(STAR[name]).parquet(f"{path}/{name}.parquet")
 
 
 def _dated_lines(spark: SparkSession, path: str, *order_columns: str, skus=None) -> DataFrame:
