@@ -14,7 +14,9 @@ def as_col(value) -> Column:
 
 
 def clip(value, low: float, high: float) -> Column:
-    return F.least(F.greatest(as_col(value), F.lit(low)), F.lit(high))
+    """``value`` limited to a range; null stays null (least and greatest alone skip it)."""
+    value = as_col(value)
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
 def or_default(value, default) -> Column:

@@ -43,7 +43,9 @@ def stock_metrics(demand: DataFrame, as_of) -> DataFrame:
             "low_margin": c("margin") < fv.LOW_MARGIN,
         })
         .withColumns({
-            "pressure": F.coalesce(F.least(F.lit(1.0), c("pressure_raw")), F.lit(fv.DEFAULT_PRESSURE)),
+            # least() skips nulls, so a missing ratio needs its own branch.
+            "pressure": F.when(c("pressure_raw").isNull(), F.lit(fv.DEFAULT_PRESSURE))
+            .otherwise(F.least(F.lit(1.0), c("pressure_raw"))),
             "stockout_risk": F.coalesce(c("stockout_days") < c("lead_time_days"), F.lit(False)),
         })
         .withColumns({"signal": signal(), "health": health()})

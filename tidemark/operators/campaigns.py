@@ -46,6 +46,19 @@ def years_of(days: DataFrame, date="ds") -> Column:
     return days.agg(F.collect_set(F.year(date))).scalar()
 
 
+def holiday_windows(daily: DataFrame, config: DataFrame) -> DataFrame:
+    """Each campaign's holiday and lift window in every year of the series."""
+    return (
+        config.withColumn("year", F.explode(years_of(daily)))
+        .withColumn("holiday", F.make_date("year", "month", "day"))
+        .select(
+            "campaign", "year", "holiday",
+            F.date_sub("holiday", F.col("window")).alias("window_start"),
+            F.date_add("holiday", fv.DAYS_AFTER_HOLIDAY).alias("window_end"),
+        )
+    )
+
+
 def in_holiday_window(date, years, before, after=fv.DAYS_AFTER_HOLIDAY) -> Column:
     """True from ``before`` days ahead of a holiday to ``after`` days past it, in any year.
 

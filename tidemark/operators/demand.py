@@ -128,10 +128,12 @@ def month_totals(days: DataFrame, config: DataFrame) -> DataFrame:
     """Per campaign and SKU: sales in the campaign's month, sales of the rows that match
     the campaign's keywords (null when none does) and the modal category."""
     c = F.col
+    # The keyword lists join again after the grouping: they would widen every shuffled row.
     cells = (
         in_campaign_month(days, config)
-        .groupBy("campaign", "keywords", "sku", "category")
+        .groupBy("campaign", "sku", "category")
         .agg(exact_sum("sales").alias("sales"), F.sum("n_lines").alias("n"))
+        .join(config.select("campaign", "keywords"), "campaign")
         .withColumn("matches", keyword_match())
     )
     with_category = F.when(c("category").isNotNull(), c("n"))

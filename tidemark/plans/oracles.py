@@ -245,7 +245,7 @@ PARTS = {
       SELECT *, CASE WHEN reorder_point > 0 THEN available / reorder_point END AS pressure_raw,
         available / daily_units AS stockout_days, margin < 0.10 AS low_margin FROM metrics1""",
     "metrics3": """
-      SELECT *, COALESCE(LEAST(1.0, pressure_raw), 0.5) AS pressure,
+      SELECT *, CASE WHEN pressure_raw IS NULL THEN 0.5 ELSE LEAST(1.0, pressure_raw) END AS pressure,
         COALESCE(stockout_days < lead_time_days, FALSE) AS stockout_risk FROM metrics2""",
     "metrics": f"""
       SELECT *, CASE WHEN stockout_risk AND trend > 0.6 THEN 'Stockout Risk' WHEN low_margin THEN 'Margin Watch'
@@ -408,6 +408,10 @@ ORACLES: dict[str, str] = {
         COUNT(DISTINCT country) AS n_countries, COUNT(DISTINCT sku) AS n_skus FROM sales"""),
     "daily_gmv": twin("SELECT ds, y FROM daily"),
     "weekly_resample": twin("SELECT ds, y FROM weekly"),
+    "holiday_windows": twin("""
+      SELECT campaign, CAST(yr AS INTEGER) AS year, make_date(yr, month, day) AS holiday,
+        make_date(yr, month, day) - win AS window_start, make_date(yr, month, day) + 1 AS window_end
+      FROM campaigns, years"""),
     "holiday_days": twin("SELECT campaign, ds, y FROM marks WHERE is_holiday"),
     "campaign_lift": twin("SELECT * FROM lift"),
     "future_calendar": twin("""

@@ -13,7 +13,7 @@ from tidemark.operators import planner, quality, ranking, series
 from tidemark.plans import backtest as bt
 from tidemark.plans.dashboard import Inputs, campaign_products_table, campaigns_table
 from tidemark.plans.refresh import refresh
-from tidemark.session import materialise, work_folder
+from tidemark.session import configure, materialise, work_folder
 from tidemark.sources import documents, sales, sinks, star, tables
 from tidemark.streaming import live, runner
 
@@ -32,7 +32,7 @@ FILTER_KEYWORDS = ["promo", "Std+", "199", "dar."]
 def query(build: Callable[[Inputs], DataFrame]):
     """Register a function of the shared inputs under its own name."""
     def run(spark: SparkSession, path: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        configure(spark)
         return build(Inputs(spark, path))
 
     QUERIES[build.__name__] = run
@@ -81,7 +81,7 @@ def clean_sales(x):
 @query
 def sales_csv_scan(x):
     path = work_folder(x.spark, "sales-csv")
-    raw_sales(x).write.csv(path, header=True)
+    raw_sales(x).write.csv(path, header=True, escape='"')
     clean = sales.clean_sales(sales.read_sales(x.spark, path))
     return series.daily_sales(clean, ("category",))
 
@@ -103,6 +103,11 @@ def weekly_resample(x):
     return series.weekly_sales(x.daily)
 
 
+@query
+def holiday_windows(x):
+    return campaigns.holiday_windows(x.daily, x.config)
+
+
 @query
 def holiday_days(x):
     return campaigns.holiday_days(x.daily, x.config).where("is_holiday").select("campaign", "ds", "y")

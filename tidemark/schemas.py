@@ -3,8 +3,22 @@
 from pyspark.sql import types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "double": T.DoubleType(), "date": T.DateType(), "timestamp": T.TimestampType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
+def _struct(spec: str, **nested: T.DataType) -> T.StructType:
+    """A schema from ``name type`` pairs, without needing a session; nested fields follow."""
+    pairs = [field.split() for field in spec.split(",")]
+    fields = [T.StructField(name, _TYPES[kind]) for name, kind in pairs]
+    return T.StructType(fields + [T.StructField(name, kind) for name, kind in nested.items()])
+
+
+def _rows(spec: str) -> T.ArrayType:
+    return T.ArrayType(_struct(spec))
 
 
 SALES = _struct(
@@ -45,13 +59,12 @@ DASHBOARD = T.StructType([
 ])
 
 LIVE_DOCUMENT = _struct(
-    "liveOpsLabel string, onlineUsers bigint,"
-    " gmv struct<current: bigint, target: bigint, projectionPct: bigint>,"
-    " velocity struct<currentOrdersPerMin: bigint, deltaPct: bigint>,"
-    " criticalInterventions array<struct<sku: string, reason: string, etaOosMins: bigint>>,"
-    " oosWatchlist array<struct<sku: string, name: string, oosMins: bigint,"
-    " diagnosis: string, action: string>>,"
-    " liveSalesHistory array<struct<name: string, etaMins: bigint, time: timestamp>>"
+    "liveOpsLabel string, onlineUsers bigint",
+    gmv=_struct("current bigint, target bigint, projectionPct bigint"),
+    velocity=_struct("currentOrdersPerMin bigint, deltaPct bigint"),
+    criticalInterventions=_rows("sku string, reason string, etaOosMins bigint"),
+    oosWatchlist=_rows("sku string, name string, oosMins bigint, diagnosis string, action string"),
+    liveSalesHistory=_rows("name string, etaMins bigint, time timestamp"),
 )
 
 # The star-schema source tables; given to the reader, so no file is opened to infer them.
@@ -134,9 +147,9 @@ TABLES = {
     },
     "simulation_results": {
         "schema": _struct(
-            "id bigint, campaign_id bigint, scenario_params struct<discount_pct: double,"
-            " demand_multiplier: double>, stockout_days map<string, double>,"
-            " total_revenue double, created_at timestamp"
+            "id bigint, campaign_id bigint, total_revenue double, created_at timestamp",
+            scenario_params=_struct("discount_pct double, demand_multiplier double"),
+            stockout_days=T.MapType(T.StringType(), T.DoubleType()),
         ),
         "defaults": {},
         "required": [],

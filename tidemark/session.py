@@ -5,18 +5,28 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTINGS = {
+# Settings the operators rely on; they can be set on a running session.
+SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Merge a user's open sessions before the shuffle, so a hot user sends few rows.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Keyed state (SKU-hours, event ids) outgrows the executor heap on a long stream.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
+START_SETTINGS = {
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    for key, value in SQL_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
 
 
 def build_session(master: str | None = None, **extra: str) -> SparkSession:
@@ -24,7 +34,7 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName("tidemark")
     if master:
         builder = builder.master(master)
-    for key, value in SETTINGS.items():
+    for key, value in {**SQL_SETTINGS, **START_SETTINGS}.items():
         builder = builder.config(key, value)
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)

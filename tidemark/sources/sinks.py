@@ -12,7 +12,10 @@ MIX_HEADERS = ["Campaign", "Peak Date", "Projected Volume (USD)", "Category", "S
 
 
 def write_inventory_csv(inventory: DataFrame, path: str) -> None:
-    inventory.select(*INVENTORY.names).write.mode("errorifexists").csv(path, header=True)
+    """Quotes inside a quoted cell are doubled."""
+    inventory.select(*INVENTORY.names).write.mode("errorifexists").csv(
+        path, header=True, escape='"'
+    )
 
 
 def write_inventory_json(inventory: DataFrame, path: str) -> None:

@@ -1,6 +1,8 @@
 """Running streams over what is available now."""
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import fixed_values as fv
 from tidemark.operators.ranking import newest
@@ -9,6 +11,23 @@ from tidemark.session import work_folder
 TIMEOUT_SECONDS = 1800
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession):
+    """Start a stream with at most two state partitions per core.
+
+    Their number is fixed for the life of a checkpoint and each one is a store to open and
+    commit per batch; more of them than the cluster can run at once only costs time. A
+    started query keeps its own copy of the setting.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _finish(query, label: str, timeout: int) -> None:
     if not query.awaitTermination(timeout):
         query.stop()
@@ -23,11 +42,12 @@ def run_to_table(stream: DataFrame, label: str, timeout: int = TIMEOUT_SECONDS)
     """
     spark = stream.sparkSession
     base = work_folder(spark, label)
-    query = (
-        stream.writeStream.outputMode("append").format("parquet")
-        .option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
+    with _state_partitions(spark):
+        query = (
+            stream.writeStream.outputMode("append").format("parquet")
+            .option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True).start()
+        )
     _finish(query, label, timeout)
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
