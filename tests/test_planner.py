@@ -56,7 +56,7 @@ def test_scenario_thresholds_and_gaps(spark):
 
 
 RISK = [
-    # stockout_days, lead, pressure, on_hand, reorder -> reference, strict
+    # stockout_days, lead, pressure, on_hand, reorder -> zero_fill, strict
     ((None, None, 0.9, 500, 10), True, False),
     ((20.0, 21, 0.9, 500, 10), True, True),
     ((13.9, 1, 0.9, 500, 10), True, True),
@@ -68,10 +68,10 @@ RISK = [
 ]
 
 
-@pytest.mark.parametrize("row,reference,strict", RISK)
-def test_at_risk(spark, row, reference, strict):
+@pytest.mark.parametrize("row,zero_fill,strict", RISK)
+def test_at_risk(spark, row, zero_fill, strict):
     df = spark.createDataFrame([row], "stockout_days double, lead_time_days int, pressure double, qty_on_hand int, reorder_point int")
-    assert tuple(df.select(P.at_risk("reference"), P.at_risk("strict")).first()) == (reference, strict)
+    assert tuple(df.select(P.at_risk("zero_fill"), P.at_risk("strict")).first()) == (zero_fill, strict)
     with pytest.raises(ValueError):
         P.at_risk("other")
 

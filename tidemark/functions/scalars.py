@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 
 
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def as_col(value) -> Column:
     """A column from a name, a Column or a plain literal that is not a name."""
     if isinstance(value, Column):
@@ -35,7 +38,7 @@ def round_even(value, digits: int) -> Column:
 
 def trim_space(value) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(as_col(value), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(as_col(value), F.lit(WHITE_SPACE))
 
 
 def status_color(status) -> Column:

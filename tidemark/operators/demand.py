@@ -161,11 +161,22 @@ def candidates(totals: DataFrame, n: int = fv.HERO_COUNT) -> DataFrame:
     """Candidate SKUs per campaign: the top of the keyword matches and, where those are
     fewer than ``n``, the top ``2n`` of the month as well."""
     c = F.col
-    n_main = max(5 * n, fv.MIN_CANDIDATES)
-    main = month_topk(totals, n_main, "matched").withColumn("is_main", F.lit(1))
-    spare = month_topk(totals, 2 * n).withColumn("is_main", F.lit(0))
+    n_matched, n_spare = max(5 * n, fv.MIN_CANDIDATES), 2 * n
+    # Both rankings come from one pass: each SKU stands for election twice.
+    entries = F.array(
+        F.struct(F.lit(1).alias("is_main"), c("matched").alias("votes")),
+        F.struct(F.lit(0).alias("is_main"), c("total").alias("votes")),
+    )
+    order = W.partitionBy("campaign", "is_main").orderBy(F.desc("votes"), "sku")
+    best = (
+        totals.select("campaign", "sku", "total", "category", F.inline(entries))
+        .where(c("votes").isNotNull())
+        .withColumn("place", F.row_number().over(order))
+        .where(c("place") <= max(n_matched, n_spare))
+        .where(c("place") <= F.when(c("is_main") == 1, n_matched).otherwise(n_spare))
+    )
     # At most max(5n, 30) + 2n rows per campaign from here on; the month's best is among them.
-    merged = main.unionByName(spare).groupBy("campaign", "sku", "total", "category").agg(
+    merged = best.groupBy("campaign", "sku", "total", "category").agg(
         F.max("is_main").alias("is_main")
     )
     group = W.partitionBy("campaign")

@@ -123,14 +123,14 @@ def simulation_results(scenarios: DataFrame) -> DataFrame:
     )
 
 
-def at_risk(mode: str = "reference") -> Column:
+def at_risk(mode: str = "zero_fill") -> Column:
     """Whether a hero joined with its inventory row is at risk of running out.
 
-    ``reference`` reads a missing stockout time as 0 days and ignores zero quantities and
+    ``zero_fill`` reads a missing stockout time as 0 days and ignores zero quantities and
     zero reorder points; ``strict`` treats missing as unknown and zero stock as low.
     """
     c = F.col
-    if mode == "reference":
+    if mode == "zero_fill":
         days = F.coalesce("stockout_days", F.lit(0.0))
         lead = F.coalesce("lead_time_days", F.lit(0))
         pressure = F.coalesce("pressure", F.lit(0.0))
@@ -147,7 +147,7 @@ def at_risk(mode: str = "reference") -> Column:
     return hit
 
 
-def stockout_risk_count(heroes: DataFrame, inventory: DataFrame, mode: str = "reference") -> DataFrame:
+def stockout_risk_count(heroes: DataFrame, inventory: DataFrame, mode: str = "zero_fill") -> DataFrame:
     """Heroes and heroes at risk per campaign."""
     stock = inventory.select("sku", "qty_on_hand", "reorder_point")
     return (

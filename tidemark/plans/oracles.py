@@ -624,8 +624,9 @@ ORACLES: dict[str, str] = {
     "dedup_batch": f"""
       SELECT event_type, COUNT(*) AS n_events, {money('value')} AS value FROM events GROUP BY 1""",
     "live_document": twin("""
-      SELECT sku, name, CAST(FLOOR(eta_oos_mins) AS BIGINT) AS oosMins, 'On track.' AS diagnosis, 'Monitor' AS action
-      FROM etas WHERE eta_oos_mins IS NOT NULL ORDER BY hour_start DESC, sku DESC LIMIT 10"""),
+      SELECT sku AS name, CAST(FLOOR(eta_oos_mins) AS BIGINT) AS "etaMins", ts AS time
+      FROM (SELECT *, date_trunc('hour', ts) AS hour_start FROM sold ORDER BY ts DESC, event_id DESC LIMIT 10)
+      JOIN etas USING (sku, hour_start)"""),
     "empty_sku_check": twin("""
       SELECT COUNT(*) FILTER (rank % 3 = 0) = 0 AS ok, COUNT(*) FILTER (rank % 3 = 0) AS empty_count FROM heroes"""),
     "empty_sku_sample": twin("SELECT campaign, rank FROM heroes WHERE rank % 3 = 0 ORDER BY 1, 2 LIMIT 10"),

@@ -670,16 +670,24 @@ def dedup_batch(x):
 
 @query
 def live_document(x):
-    """Watchlist and ticker of finished hours as one nested document, read back as rows."""
+    """The sales ticker with each sale's minutes to out-of-stock, written as one nested
+    document and read back as rows."""
     etas = live.minutes_to_out_of_stock(live.sku_orders_by_hour(x.events, x.stored_inventory))
-    worst = ranking.newest(etas.where("eta_oos_mins is not null"), 10, "hour_start", "sku")
-    watch = worst.agg(F.array_sort(F.collect_list(F.struct(
-        "sku", "name", F.floor("eta_oos_mins").alias("oosMins"),
-        F.lit(fv.DIAGNOSIS_ON_TRACK[0]).alias("diagnosis"), F.lit(fv.DIAGNOSIS_ON_TRACK[1]).alias("action"),
-    ))).alias("oosWatchlist"))
+    sold = ranking.newest(live.purchases(x.events)).withColumn(
+        "hour_start", F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    )
+    sale = F.struct(
+        F.col("sku").alias("name"), F.floor("eta_oos_mins").alias("etaMins"), F.col("ts").alias("time")
+    )
+    ticker = sold.join(etas, ["hour_start", "sku"]).agg(
+        F.reverse(F.array_sort(F.collect_list(F.struct("ts", sale.alias("sale"))))).getField("sale")
+        .alias("liveSalesHistory")
+    )
     path = work_folder(x.spark, "live-document")
-    watch.select(F.to_json(F.struct("oosWatchlist")).alias("value")).write.text(path)
-    return documents.live_watchlist_rows(documents.read_live_document(x.spark, path))
+    iso = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    ticker.select(F.to_json(F.struct("liveSalesHistory"), iso).alias("value")).write.text(path)
+    back = documents.live_sales_rows(documents.read_live_document(x.spark, path))
+    return back.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
 # Data quality
