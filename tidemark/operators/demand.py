@@ -26,7 +26,8 @@ def sku_day(sales: DataFrame) -> DataFrame:
 def sku_demand(days: DataFrame) -> DataFrame:
     """Order dates, line count and recent and earlier sales of each SKU.
 
-    Recent: the 90 days up to the SKU's own last order. Base: the 90 days before those.
+    Recent: the 90 days up to the SKU's own last order. Base: the 90 days before those. The
+    SKU may come as text or number; it leaves as text.
     """
     c = F.col
     last = F.max("order_date").over(W.partitionBy("sku"))
@@ -44,6 +45,7 @@ def sku_demand(days: DataFrame) -> DataFrame:
             F.datediff(F.max("order_date"), F.min(F.when(recent, c("order_date")))).alias("recent_days"),
             F.coalesce(exact_sum(F.when(base, c("sales"))), F.lit(0.0)).alias("base_sales"),
         )
+        .withColumn("sku", c("sku").cast("string"))
     )
 
 
