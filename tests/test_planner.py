@@ -148,3 +148,19 @@ def test_labels(spark):
                                "name string, sku string, n int, mins int, peak date")
     got = [tuple(r) for r in df.select(X.display_name("name", "sku", "n"), X.cover_label("mins"), X.date_range_label("peak")).collect()]
     assert got == [("Lamp", "59m remaining", "Dec 30 - Jan 5"), ("red lamp", "1h 0m", "—"), ("Product 07", "6h 30m", "Dec 27 - Jan 2")]
+
+
+def test_planning_uses_two_decimals_of_the_lift(spark):
+    from tidemark.plans.dashboard import published_lifts
+    plan = spark.createDataFrame([("A", 1, 100, 2.538)], "campaign string, position int, baseline_units bigint, planned_lift double")
+    row = published_lifts(plan).withColumn("velocity", F.lit(1.0)).select(P.planner_units().alias("u")).first()
+    assert row.u == 366  # 100 * 2.54 * 1.2 * 1.2 = 365.76
+
+
+def test_stored_scenarios(spark):
+    plan = spark.createDataFrame([("A", 3)], "campaign string, position int")
+    scen = spark.createDataFrame([("A", "s2", 10, None, 2.5), ("A", "s1", 10, 4.0, 1.25)],
+                                 "campaign string, sku string, discount_pct int, stockout_days double, revenue double")
+    row = P.simulation_results(scen, plan).first()
+    assert (row.id, row.campaign_id, row.total_revenue) == (3010, 3, 3.75)
+    assert row.stockout_days == {"s1": 4.0, "s2": None} and row.scenario_params.demand_multiplier == 1.05

@@ -43,7 +43,7 @@ def clean_lines(text) -> Column:
 
 
 def _strip(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(line, '^"+|"+$', ""), "^'+|'+$", "")
+    return F.btrim(F.btrim(line, F.lit('"')), F.lit("'"))
 
 
 def clean_callouts(df: DataFrame, keys: list[str], text: str,

@@ -112,14 +112,24 @@ def discount_scenarios(products: DataFrame, inventory: DataFrame,
     )
 
 
-def simulation_results(scenarios: DataFrame) -> DataFrame:
-    """Stored form: per campaign and discount the total revenue and a map SKU -> days.
+def simulation_results(scenarios: DataFrame, plan: DataFrame) -> DataFrame:
+    """Scenarios in their stored form: per campaign and discount the parameters, the total
+    revenue and a map SKU -> days to stockout.
 
     The map holds one entry per planned product (the campaign's heroes).
     """
-    return scenarios.groupBy("campaign", "discount_pct").agg(
+    entries = F.array_sort(F.collect_list(F.struct("sku", "stockout_days")))
+    sums = scenarios.groupBy("campaign", "discount_pct").agg(
         exact_sum("revenue").alias("total_revenue"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("sku", "stockout_days")))).alias("stockout_days"),
+        F.map_from_entries(entries).alias("stockout_days"),
+    )
+    discount = F.col("discount_pct").cast("double")
+    multiplier = F.lit(1.0) + discount / F.lit(100.0) * F.lit(fv.DISCOUNT_ELASTICITY)
+    return sums.join(plan.select("campaign", "position"), "campaign").select(
+        (F.col("position") * 1000 + F.col("discount_pct")).cast("bigint").alias("id"),
+        F.col("position").cast("bigint").alias("campaign_id"),
+        F.struct(discount.alias("discount_pct"), multiplier.alias("demand_multiplier")).alias("scenario_params"),
+        "stockout_days", "total_revenue",
     )
 
 

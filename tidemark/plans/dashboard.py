@@ -5,7 +5,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+from tidemark.fixed_values import DEFAULT_STATUS, TOP_SKUS
+from tidemark.functions.scalars import round_even
 from tidemark.operators.campaigns import (
     campaign_action, campaign_peak, campaigns, observed_lift,
 )
@@ -16,7 +17,6 @@ from tidemark.operators.planner import dashboard_units, with_date_range
 from tidemark.operators.ranking import hero_products
 from tidemark.session import materialise
 from tidemark.sources import star
-from tidemark.fixed_values import DEFAULT_STATUS, TOP_SKUS
 
 
 def campaign_plan(daily: DataFrame, config: DataFrame, forecast: DataFrame) -> DataFrame:
@@ -30,6 +30,13 @@ def campaign_plan(daily: DataFrame, config: DataFrame, forecast: DataFrame) -> D
     return with_date_range(plan)
 
 
+def published_lifts(plan: DataFrame) -> DataFrame:
+    """Position, baseline and planned lift with the two decimals planning works with."""
+    return plan.select(
+        "campaign", "position", "baseline_units", round_even("planned_lift", 2).alias("planned_lift")
+    )
+
+
 def campaigns_table(plan: DataFrame) -> DataFrame:
     """The plan as rows of the relational ``campaigns`` table (dated campaigns only)."""
     return plan.where("peak_date is not null").select(
@@ -42,9 +49,7 @@ def campaigns_table(plan: DataFrame) -> DataFrame:
 
 def campaign_products_table(heroes: DataFrame, plan: DataFrame) -> DataFrame:
     """Heroes as rows of ``campaign_products`` with expected units."""
-    return heroes.join(
-        plan.select("campaign", "position", "baseline_units", "planned_lift"), "campaign"
-    ).select(
+    return heroes.join(published_lifts(plan), "campaign").select(
         (F.col("position") * 1000 + F.col("rank")).cast("bigint").alias("id"),
         F.col("position").cast("bigint").alias("campaign_id"),
         "sku", "category", "rank",

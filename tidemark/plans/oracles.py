@@ -283,13 +283,14 @@ PARTS = {
       SELECT * FROM (SELECT campaign, CAST(ROW_NUMBER() OVER (
           PARTITION BY campaign ORDER BY priority_score DESC, total DESC, sku) AS INTEGER) AS rank,
           * EXCLUDE (campaign) FROM published_scores) WHERE rank <= 10""",
+    "lifts": "SELECT campaign, baseline_units, round_even(planned_lift, 2) AS planned_lift FROM plan",
     "planned": """
       SELECT h.*, baseline_units, planned_lift,
         CAST(FLOOR(baseline_units * planned_lift * CAST(1.2 AS DOUBLE) * (CAST(0.8 AS DOUBLE)
           + COALESCE(NULLIF(velocity, 0), CAST(0.75 AS DOUBLE)) * CAST(0.4 AS DOUBLE)) + 0.5) AS BIGINT) AS units,
         CAST(FLOOR(baseline_units * planned_lift * (CAST(0.8 AS DOUBLE)
           + COALESCE(NULLIF(velocity, 0), CAST(0.5 AS DOUBLE)) * CAST(0.4 AS DOUBLE)) + 0.5) AS BIGINT) AS dash_units
-      FROM heroes h JOIN plan USING (campaign)""",
+      FROM heroes h JOIN lifts USING (campaign)""",
     "scenarios": """
       SELECT campaign, sku, forecast, discount_pct, demand_units,
         CASE WHEN demand_units > 0 THEN qty / (demand_units / 30) END AS stockout_days,
@@ -526,12 +527,16 @@ ORACLES: dict[str, str] = {
         to_plan="""
       SELECT campaign, sku, CAST(FLOOR(baseline_units * planned_lift * CAST(1.2 AS DOUBLE)
         * (CAST(0.8 AS DOUBLE) + CAST(0.75 AS DOUBLE) * CAST(0.4 AS DOUBLE)) + 0.5) AS BIGINT) AS forecast
-      FROM month_sales JOIN plan USING (campaign)""",
+      FROM month_sales JOIN lifts USING (campaign)""",
     ),
     "simulation_results": twin(
         f"""
-      SELECT campaign, discount_pct, {total('revenue')} AS total_revenue, COUNT(*) AS n_skus,
-        string_agg(sku, ',' ORDER BY sku) AS skus FROM scenarios GROUP BY 1, 2""",
+      SELECT CAST(c.position * 1000 + s.discount_pct AS BIGINT) AS id, CAST(c.position AS BIGINT) AS campaign_id,
+        1 + s.discount_pct / CAST(100 AS DOUBLE) * CAST(0.5 AS DOUBLE) AS demand_multiplier, total_revenue, sku,
+        stockout_days
+      FROM scenarios s JOIN campaigns c USING (campaign)
+      JOIN (SELECT campaign, discount_pct, {total('revenue')} AS total_revenue FROM scenarios GROUP BY 1, 2) t
+        ON t.campaign = s.campaign AND t.discount_pct = s.discount_pct""",
         to_plan="SELECT campaign, sku, units AS forecast FROM planned",
     ),
     "stockout_risk_count": twin("""

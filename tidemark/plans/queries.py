@@ -11,7 +11,9 @@ from tidemark.functions.scalars import cover_label, display_name
 from tidemark.operators import accuracy, callouts, campaigns, demand, forecast, inventory
 from tidemark.operators import planner, quality, ranking, series
 from tidemark.plans import backtest as bt
-from tidemark.plans.dashboard import Inputs, campaign_products_table, campaigns_table
+from tidemark.plans.dashboard import (
+    Inputs, campaign_products_table, campaigns_table, published_lifts,
+)
 from tidemark.plans.refresh import refresh
 from tidemark.session import configure, materialise, work_folder
 from tidemark.sources import documents, sales, sinks, star, tables
@@ -390,7 +392,7 @@ def pick_campaign(x):
 
 
 def planned_heroes(x: Inputs) -> DataFrame:
-    return x.heroes.join(x.plan.select("campaign", "baseline_units", "planned_lift"), "campaign")
+    return x.heroes.join(published_lifts(x.plan), "campaign")
 
 
 @query
@@ -421,7 +423,7 @@ def scenario_grid(x):
     """Every SKU sold in a campaign's month at every discount, summed per risk label."""
     totals = demand.month_totals(x.days, x.config).select("campaign", "sku")
     products = (
-        totals.join(x.plan.select("campaign", "baseline_units", "planned_lift"), "campaign")
+        totals.join(published_lifts(x.plan), "campaign")
         .withColumn("velocity", F.lit(0.0))
         .select("campaign", "sku", planner.planner_units().alias("forecast"))
     )
@@ -433,11 +435,12 @@ def scenario_grid(x):
 
 @query
 def simulation_results(x):
-    stored = planner.simulation_results(hero_scenarios(x))
-    return stored.select(
-        "campaign", "discount_pct", "total_revenue",
-        F.cardinality("stockout_days").cast("bigint").alias("n_skus"),
-        F.concat_ws(",", F.map_keys("stockout_days")).alias("skus"),
+    """Scenarios stored as the relational table and read back."""
+    path = work_folder(x.spark, "tables")
+    tables.write_table(planner.simulation_results(hero_scenarios(x), x.plan), "simulation_results", path)
+    return tables.read_table(x.spark, "simulation_results", path).select(
+        "id", "campaign_id", F.col("scenario_params.demand_multiplier").alias("demand_multiplier"),
+        "total_revenue", F.explode("stockout_days").alias("sku", "stockout_days"),
     )
 
 
