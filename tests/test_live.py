@@ -141,3 +141,29 @@ def test_work_folder_follows_the_setting(spark):
     from tidemark.session import work_folder
     a, b = work_folder(spark, "x"), work_folder(spark, "x")
     assert a != b and a.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+class _Session:
+    """A session without the setting."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+        self.sparkContext = self.conf = self
+
+    def get(self, key, default=None):
+        return default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_work_folder_without_the_setting():
+    from tidemark.session import work_folder
+    local = _Session("local[2]")
+    first, second = work_folder(local, "x"), work_folder(local, "x")
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0] == local.folder
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(_Session("spark://host:7077"), "x")

@@ -44,16 +44,16 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
 def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder for intermediate tables and stream checkpoints.
 
-    It lies in the shared folder named by ``spark.checkpoint.dir``. Only a session
-    without that setting (a local test) gets a temporary folder, which is recorded
-    in the setting so that later calls agree.
+    It lies in the shared folder named by ``spark.checkpoint.dir`` (or set on the context).
+    Only a local session without one, as in a test, gets a temporary folder of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
 
 
