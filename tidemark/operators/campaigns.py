@@ -33,12 +33,14 @@ def per_campaign(df: DataFrame, config: DataFrame) -> DataFrame:
 def in_campaign_month(df: DataFrame, config: DataFrame, date="order_date") -> DataFrame:
     """Rows dated in a campaign's month, with the campaign's columns (equi-join on month).
 
-    The month list is also a plain filter on the date, which the optimizer moves below
-    groupings and joins down to the scan that delivers the date.
+    Rows that are already grouped by month bring a column ``month`` instead of a date. The
+    month list is also a plain filter, which the optimizer moves below groupings and joins
+    down to the scan that delivers the date.
     """
     months = config.agg(F.collect_set("month")).scalar()
-    in_month = df.where(F.array_contains(months, F.month(date)))
-    return in_month.withColumn("month", F.month(date)).join(config, "month")
+    month = F.col("month") if "month" in df.columns else F.month(date)
+    in_month = df.where(F.array_contains(months, month))
+    return in_month.withColumn("month", month).join(config, "month")
 
 
 def years_of(days: DataFrame, date="ds") -> Column:

@@ -127,25 +127,26 @@ def top_skus(totals: DataFrame, n: int | None, by: str = "total_sales") -> DataF
 
 
 def month_totals(days: DataFrame, config: DataFrame) -> DataFrame:
-    """Per campaign and SKU: sales in the campaign's month, sales of the rows that match
-    the campaign's keywords (null when none does) and the modal category."""
+    """Per campaign and SKU: sales in the campaign's month and sales of the rows that match
+    the campaign's keywords (null when none does). Numbers only, so both groupings hash."""
     c = F.col
     # The keyword lists join again after the grouping: they would widen every shuffled row.
     cells = (
         in_campaign_month(days, config)
         .groupBy("campaign", "sku", "category")
-        .agg(exact_sum("sales").alias("sales"), F.sum("n_lines").alias("n"))
+        .agg(exact_sum("sales").alias("sales"))
         .join(config.select("campaign", "keywords"), "campaign")
         .withColumn("matches", keyword_match())
     )
-    with_category = F.when(c("category").isNotNull(), c("n"))
     return cells.groupBy("campaign", "sku").agg(
         exact_sum("sales").alias("total"),
         exact_sum(F.when(c("matches"), c("sales"))).alias("matched"),
-        F.min_by("category", F.struct(
-            c("category").isNull(), (-F.coalesce(with_category, F.lit(0))).alias("n"), c("category")
-        )).alias("category"),
-    ).withColumn("category", F.coalesce("category", F.lit(fv.DEFAULT_CATEGORY)))
+    )
+
+
+def month_category(days: DataFrame, config: DataFrame) -> DataFrame:
+    """The modal category of each campaign and SKU in the campaign's month."""
+    return modal_value(in_campaign_month(days, config), ["campaign", "sku"], "category", F.col("n_lines"))
 
 
 def month_topk(totals: DataFrame, k: int, by: str = "total") -> DataFrame:
@@ -171,16 +172,14 @@ def candidates(totals: DataFrame, n: int = fv.HERO_COUNT) -> DataFrame:
     )
     order = W.partitionBy("campaign", "is_main").orderBy(F.desc("votes"), "sku")
     best = (
-        totals.select("campaign", "sku", "total", "category", F.inline(entries))
+        totals.select("campaign", "sku", "total", F.inline(entries))
         .where(c("votes").isNotNull())
         .withColumn("place", F.row_number().over(order))
         .where(c("place") <= max(n_matched, n_spare))
         .where(c("place") <= F.when(c("is_main") == 1, n_matched).otherwise(n_spare))
     )
     # At most max(5n, 30) + 2n rows per campaign from here on; the month's best is among them.
-    merged = best.groupBy("campaign", "sku", "total", "category").agg(
-        F.max("is_main").alias("is_main")
-    )
+    merged = best.groupBy("campaign", "sku", "total").agg(F.max("is_main").alias("is_main"))
     group = W.partitionBy("campaign")
     return (
         merged.withColumns({
@@ -189,7 +188,6 @@ def candidates(totals: DataFrame, n: int = fv.HERO_COUNT) -> DataFrame:
         })
         .where((c("is_main") == 1) | (c("n_main") < n))
         .select(
-            "campaign", "sku", "total", "category", "best_total",
-            (c("is_main") == 0).alias("is_fallback"),
+            "campaign", "sku", "total", "best_total", (c("is_main") == 0).alias("is_fallback"),
         )
     )

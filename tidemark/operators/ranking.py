@@ -7,34 +7,45 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.functions.scalars import as_col, round_even
 from tidemark.functions.stock import priority_score, rounded_metrics
-from tidemark.operators.demand import candidates, month_totals, sku_metrics
+from tidemark.operators.demand import (
+    candidates, month_category, month_totals, sku_metrics,
+)
 from tidemark.session import materialise
 
 
 def hero_products(days: DataFrame, products: DataFrame, inventory: DataFrame, config: DataFrame,
-                  as_of, n: int = fv.HERO_COUNT, rounded: bool = True, days_of=None) -> DataFrame:
+                  as_of, n: int = fv.HERO_COUNT, rounded: bool = True, months=None,
+                  days_of=None) -> DataFrame:
     """The top ``n`` products of each campaign by priority score.
 
     ``days`` are SKU-day rows, ``products`` has one row per SKU with its name. Metrics are
-    computed for candidate SKUs only; ``days_of`` may give the SKU-day rows of a small SKU
-    table from closer to the source than a semi-join with ``days``. With ``rounded``
-    metrics and score are rounded before ranking, as published; without it the ranking
-    uses full precision.
+    computed for candidate SKUs only. A source may offer shorter ways than ``days``:
+    ``months``, rows grouped by month already, and ``days_of``, the SKU-day rows of a small
+    SKU table. With ``rounded`` metrics and score are rounded before ranking, as published;
+    without it the ranking uses full precision.
     """
     c = F.col
     # campaigns x (max(5n, 30) + 2n) rows at most, so the broadcasts below are bounded. The
     # rows are read three times and cost a full scan, so they are written once.
-    chosen = materialise(candidates(month_totals(days, config), n), "candidates")
+    totals = month_totals(days if months is None else months, config)
+    chosen = materialise(candidates(totals, n), "candidates")
     chosen_skus = F.broadcast(chosen.select("sku").distinct())
-    chosen_days = days_of(chosen_skus) if days_of else days.join(chosen_skus, "sku", "left_semi")
+    picked = days_of(chosen_skus) if days_of else days.join(chosen_skus, "sku", "left_semi")
+    # One row per candidate SKU, category and day, read for metrics and for categories.
+    chosen_days = materialise(picked, "candidate-days")
     metrics = sku_metrics(chosen_days, inventory, as_of)
     if rounded:
         metrics = rounded_metrics(metrics)
+    categories = F.broadcast(month_category(chosen_days, config))
     names = products.select("sku", "name").join(chosen_skus, "sku", "left_semi")
     scored = (
         chosen.join(F.broadcast(metrics), "sku")
         .join(F.broadcast(names), "sku", "left")
-        .withColumn("name", F.coalesce("name", "sku"))
+        .join(categories, ["campaign", "sku"], "left")
+        .withColumns({
+            "name": F.coalesce("name", "sku"),
+            "category": F.coalesce("category", F.lit(fv.DEFAULT_CATEGORY)),
+        })
         .withColumn("priority_score", priority_score(c("total") / c("best_total")))
     )
     if rounded:

@@ -83,6 +83,10 @@ class Inputs:
     def days(self) -> DataFrame:
         return star.sku_day(self.spark, self.path)
 
+    @cached_property
+    def months(self) -> DataFrame:
+        return star.sku_month(self.spark, self.path)
+
     @cached_property
     def products(self) -> DataFrame:
         return star.products(self.spark, self.path)
@@ -110,7 +114,7 @@ class Inputs:
     def rank_heroes(self, rounded: bool) -> DataFrame:
         return hero_products(
             self.days, self.products, self.inventory, self.config, self.as_of, rounded=rounded,
-            days_of=lambda skus: star.sku_day_totals(self.spark, self.path, skus),
+            months=self.months, days_of=lambda skus: star.sku_day(self.spark, self.path, skus),
         )
 
     @cached_property

@@ -469,13 +469,13 @@ ORACLES: dict[str, str] = {
     "sku_signals": twin("SELECT sku, signal, strategy, color FROM metrics LEFT JOIN strategies USING (signal)"),
     "inventory_health": twin("SELECT sku, low_margin, stockout_risk, health FROM metrics"),
     "month_topk": twin("""
-      SELECT campaign, CAST(rank AS INTEGER) AS rank, sku, total, category FROM month_ranks WHERE rank <= 20"""),
+      SELECT campaign, CAST(rank AS INTEGER) AS rank, sku, total FROM month_ranks WHERE rank <= 20"""),
     "keyword_filter": twin(f"""
       SELECT sku, category, {money('sales')} AS sales, CAST(SUM(n_lines) AS BIGINT) AS n_lines FROM days
       WHERE {_KEYWORD_RULE} GROUP BY 1, 2"""),
     "candidate_fallback": twin(
         """
-      SELECT campaign, sku, total, category, best_total, NOT is_main AS is_fallback FROM (
+      SELECT campaign, sku, total, best_total, NOT is_main AS is_fallback FROM (
         SELECT *, COUNT(*) FILTER (is_main) OVER (PARTITION BY campaign) AS n_main FROM narrow_ranks)
       WHERE is_main OR (rank <= 20 AND n_main < 10)""",
         narrow_ranks="""

@@ -314,8 +314,8 @@ def inventory_health(x):
 
 @query
 def month_topk(x):
-    totals = demand.month_totals(x.days, x.config)
-    return demand.month_topk(totals, 20).select("campaign", "rank", "sku", "total", "category")
+    totals = demand.month_totals(x.months, x.config)
+    return demand.month_topk(totals, 20).select("campaign", "rank", "sku", "total")
 
 
 @query
@@ -329,7 +329,7 @@ def keyword_filter(x):
 def candidate_fallback(x):
     rows = [{**row, "keywords": NARROW_KEYWORDS[row["campaign"]]} for row in fv.CAMPAIGNS]
     narrow = campaigns.campaigns(x.spark, rows)
-    return demand.candidates(demand.month_totals(x.days, narrow))
+    return demand.candidates(demand.month_totals(x.months, narrow))
 
 
 @query
@@ -421,7 +421,7 @@ def discount_scenarios(x):
 @query
 def scenario_grid(x):
     """Every SKU sold in a campaign's month at every discount, summed per risk label."""
-    totals = demand.month_totals(x.days, x.config).select("campaign", "sku")
+    totals = demand.month_totals(x.months, x.config).select("campaign", "sku")
     products = (
         totals.join(published_lifts(x.plan), "campaign")
         .withColumn("velocity", F.lit(0.0))

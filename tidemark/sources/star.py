@@ -67,27 +67,36 @@ def daily(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _part_days(spark: SparkSession, path: str, skus: DataFrame | None = None) -> DataFrame:
-    return _dated_lines(spark, path, skus=skus).groupBy("l_partkey", "order_date").agg(
+def _per_part(lines: DataFrame, *parts) -> DataFrame:
+    return lines.groupBy("l_partkey", *parts).agg(
         exact_sum("l_extendedprice").alias("sales"), F.count(F.lit(1)).alias("n_lines")
     )
 
 
-def sku_day_totals(spark: SparkSession, path: str, skus: DataFrame | None = None) -> DataFrame:
+def _with_category(spark: SparkSession, path: str, per_part: DataFrame, *parts: str) -> DataFrame:
+    part = table(spark, path, "part").select("p_partkey", F.col("p_type").alias("category"))
+    return per_part.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_partkey").cast("string").alias("sku"), "category", *parts, "sales", "n_lines"
+    )
+
+
+def sku_day_totals(spark: SparkSession, path: str) -> DataFrame:
     """Sales and line counts per SKU and day, the SKU still as a number: it halves the
-    shuffle of the many narrow rows. With ``skus`` the lines of other SKUs are dropped at
-    the scan, before orders are joined."""
-    return _part_days(spark, path, skus).withColumnRenamed("l_partkey", "sku")
+    shuffle of the many narrow rows."""
+    return _per_part(_dated_lines(spark, path), "order_date").withColumnRenamed("l_partkey", "sku")
 
 
-def sku_day(spark: SparkSession, path: str) -> DataFrame:
-    """SKU-day rows with the category; products are joined after the grouping."""
-    part = table(spark, path, "part").select("p_partkey", F.col("p_type").alias("category"))
-    return (
-        _part_days(spark, path)
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .select(F.col("l_partkey").cast("string").alias("sku"), "category", "order_date", "sales", "n_lines")
-    )
+def sku_day(spark: SparkSession, path: str, skus: DataFrame | None = None) -> DataFrame:
+    """SKU-day rows with the category; products are joined after the grouping. With
+    ``skus`` the lines of other SKUs are dropped at the scan, before orders are joined."""
+    days = _per_part(_dated_lines(spark, path, skus=skus), "order_date")
+    return _with_category(spark, path, days, "order_date")
+
+
+def sku_month(spark: SparkSession, path: str) -> DataFrame:
+    """Sales and line counts per SKU and calendar month (1-12, all years together)."""
+    lines = _dated_lines(spark, path).withColumn("month", F.month("order_date"))
+    return _with_category(spark, path, _per_part(lines, "month"), "month")
 
 
 def products(spark: SparkSession, path: str) -> DataFrame:
