@@ -30,7 +30,7 @@ MOST_REPEATED = 20
 KEEP_FROM = 0.5
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
-            "n_upper", "n_letters", "n_marked", "n_pipes", "n_stops", "n_distinct"]
+            "n_upper", "n_letters", "n_marked", "n_pipes", "n_stops", "n_distinct", "n_plain"]
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -40,6 +40,8 @@ _LETTER = _UPPER.copy()
 _LETTER[97:123] = True
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in "!?#*$%&|<>"]] = True
+_ODD = np.zeros(256, bool)
+_ODD[33:48] = _ODD[58:65] = _ODD[91:97] = _ODD[123:127] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,;:"]] = True
 
@@ -73,6 +75,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
     _, word_later = repeated(hashes, texts)
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
+    odd = np.concatenate([[0], np.cumsum(_ODD[data])])
+    plain = odd[ends] - odd[starts] == _STOP[last]  # letters and digits, a stop at the end at most
     return {
         "n_words": of_text(texts),
         "word_chars": _sums(word & ((data & 0xC0) != 0x80), offsets),
@@ -86,6 +90,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_pipes": _sums(data == ord("|"), offsets),
         "n_stops": of_text(texts[_STOP[last]]),
         "n_distinct": of_text(texts[~word_later]),
+        "n_plain": of_text(texts[plain]),
     }
 
 
@@ -111,29 +116,34 @@ def base_failed() -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Each rule votes 1 (good), -1 (bad) or 0 (abstains)."""
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
+    """Each rule votes 1 (good), -1 (bad) or 0 (abstains).
+
+    Kinds of junk exclude each other, so the absence of one flaw says little: most rules only
+    accuse or abstain, and a few that look at the prose itself vote both ways.
+    """
+    def vote(bad: Column, good: Column | None = None) -> Column:
+        out = F.when(bad, -1)
+        return (out if good is None else out.when(good, 1)).otherwise(0)
 
     words = F.greatest(F.col("n_words"), F.lit(1))
+    lines = F.greatest(F.col("n_lines"), F.lit(1))
     mean_word = F.col("word_chars") / words
-    symbols = F.col("n_symbols") / words
     upper = F.col("n_upper") / F.greatest(F.col("n_letters"), F.lit(1))
-    lettered = F.col("n_letters") >= 40
+    plain = F.col("n_plain") / words
+    stops = F.col("n_stops") / words
     return {
-        "length": vote(F.col("n_words") < LEAST_WORDS, F.col("n_words") >= 3 * LEAST_WORDS),
-        "repeats": vote(base_failed() & (F.col("n_words") >= LEAST_WORDS),
-                        100 * F.col("n_repeat_words") < 5 * F.col("n_words")),
-        "symbols": vote(symbols > 0.25, symbols < 0.05),
-        "marks": vote(F.col("n_marked") / words > 0.25, F.col("n_marked") / words < 0.05),
-        "capitals": vote(lettered & (upper > 0.3), lettered & (upper < 0.1)),
-        "tables": vote(F.col("n_pipes") / words > 0.15, F.lit(False)),
-        "lines": vote((F.col("n_lines") >= 4) & (F.col("n_dup_lines") / F.col("n_lines") > 0.3),
-                      (F.col("n_lines") >= 4) & (F.col("n_dup_lines") / F.col("n_lines") < 0.1)),
-        "word_size": vote((mean_word < 2) | (mean_word > 14), mean_word.between(3, 10)),
-        "stops": vote((F.col("n_words") >= 100) & (F.col("n_stops") / words < 0.01),
-                      F.col("n_stops") / words > 0.04),
-        "variety": vote((F.col("n_words") >= 50) & (F.col("n_distinct") / words < 0.1), F.lit(False)),
+        "length": vote(F.col("n_words") < LEAST_WORDS),
+        "repeats": vote(100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
+        "symbols": vote(F.col("n_symbols") / words > 0.25),
+        "marks": vote(F.col("n_marked") / words > 0.2),
+        "capitals": vote((F.col("n_letters") >= 40) & (upper > 0.3)),
+        "tables": vote(F.col("n_pipes") / words > 0.1),
+        "lines": vote((F.col("n_lines") >= 4) & (F.col("n_dup_lines") / lines > 0.3)),
+        "variety": vote(((F.col("n_words") >= 50) & (F.col("n_distinct") / words < 0.15))
+                        | ((F.col("n_words") >= 15) & (F.col("n_distinct") < 0.3 * F.least(F.col("n_words"), F.lit(60))))),
+        "word_size": vote((mean_word < 2) | (mean_word > 14)),
+        "prose": vote((F.col("n_words") >= 30) & (plain < 0.7), plain > 0.9),
+        "stops": vote((F.col("n_words") >= 100) & (stops < 0.01), stops.between(0.03, 0.5) & (plain > 0.9)),
     }
 
 
@@ -141,19 +151,24 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
                              tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of good for each pattern, the share of good, and vote rates [class, rule, vote].
 
-    patterns: (p, rules) of -1, 0, 1. Starts from the votes' balance. Rates are smoothed by one
-    document that voted as a rule of 80 % accuracy, so that a rule that never votes, or a class
-    without documents, gives no zero; this also holds "good" to the votes' meaning.
+    patterns: (p, rules) of -1, 0, 1. The start takes a document with an accusation for bad. A vote
+    means what it says: a rule's bad votes are never more likely on good documents than on bad ones,
+    nor its good votes less likely. A rule that never votes gets no zero rate by a little smoothing.
     """
-    p, m = patterns.shape
     votes = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
-    balance = patterns.sum(1)
-    good = 1 / (1 + np.exp(-balance.astype(float)))
-    prior = np.array([[0.55, 0.25, 0.2], [0.2, 0.25, 0.55]])
+    balance = (patterns == 1).sum(1) - 3.0 * (patterns == -1).sum(1)
+    good = 1 / (1 + np.exp(-balance - 0.5))
+    prior = np.array([[0.3, 0.6, 0.1], [0.02, 0.6, 0.38]])
+    share, rates = np.array([0.5, 0.5]), np.tile(prior[:, None, :], (1, patterns.shape[1], 1))
     for _ in range(rounds):
         weight = np.stack([(1 - good) * counts, good * counts])
         rates = np.einsum("cp,pmv->cmv", weight, votes) + prior[:, None, :]
         rates /= rates.sum(2, keepdims=True)
+        for v, (low, high) in ((0, (1, 0)), (2, (0, 1))):
+            wrong = rates[low, :, v] > rates[high, :, v]
+            mean = (rates[0, :, v] + rates[1, :, v]) / 2
+            rates[:, wrong, v] = mean[wrong]
+        rates[:, :, 1] = np.maximum(1 - rates[:, :, 0] - rates[:, :, 2], 1e-12)
         share = (weight.sum(1) + 1) / (weight.sum() + 2)
         logs = np.einsum("pmv,cmv->pc", votes, np.log(rates)) + np.log(share)
         logs -= logs.max(1, keepdims=True)
