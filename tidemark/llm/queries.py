@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, quality_rules, staging, toxicity
+from tidemark.llm import (
+    byte_bpe, html_text, kd_sharding, language_id, quality_rules, staging, toxicity,
+)
+
+#: Vocabulary of the byte-level encoder.
+BYTE_BPE = "byte_bpe_50k.tiktoken"
+SHARDS = 24
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +47,21 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         staging.table(spark, sf_dir, "documents"), ~staging.held_out(F.col("doc_id")))
     return found.select(
         "doc_id", staging.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = kd_sharding.shard(staging.table(spark, sf_dir, "documents"), SHARDS)
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(staging.table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(staging.table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
