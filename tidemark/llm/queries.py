@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    byte_bpe, html_text, kd_sharding, language_id, quality_rules, staging, toxicity,
+    byte_bpe, html_text, kd_sharding, language_id, partenum, quality_rules, staging, toxicity,
 )
 
 #: Vocabulary of the byte-level encoder.
@@ -65,3 +65,34 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(staging.table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+@query
+def op10_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.link(staging.table(spark, sf_dir, "documents"), 3, 90)
+
+
+ORACLES["op10_partenum"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM words),
+sizes AS (SELECT doc_id, len(g) AS n FROM grams),
+elements AS (SELECT doc_id, hash(x) AS x FROM (SELECT doc_id, unnest(g) AS x FROM grams)),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM elements a JOIN elements b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
+  WHERE 100 * common >= 90 * (s.n + t.n - common)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM sizes
+  UNION SELECT r.node, l.b FROM reach r JOIN sides l ON l.a = r.seen)
+SELECT s.doc_id, s.n AS n_shingles, min(r.seen) AS component_id FROM sizes s JOIN reach r ON r.node = s.doc_id
+GROUP BY s.doc_id, s.n
+"""
