@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    byte_bpe, html_text, kd_sharding, language_id, partenum, quality_rules, staging, toxicity,
+    byte_bpe, html_text, kd_sharding, language_id, packing, partenum, quality_rules, staging, toxicity,
 )
 
 #: Vocabulary of the byte-level encoder.
 BYTE_BPE = "byte_bpe_50k.tiktoken"
+#: Vocabulary of the packed sequences.
+WORD_BPE = "word_bpe_49k.json"
 SHARDS = 24
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +98,9 @@ reach AS (
 SELECT s.doc_id, s.n AS n_shingles, min(r.seen) AS component_id FROM sizes s JOIN reach r ON r.node = s.doc_id
 GROUP BY s.doc_id, s.n
 """
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = staging.table(spark, sf_dir, "documents")
+    return packing.pack(packing.pieces(documents, public_tokenizers.path(WORD_BPE)))
