@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    byte_bpe, html_text, kd_sharding, language_id, packing, partenum, quality_rules, staging, toxicity,
+    byte_bpe, html_text, kd_sharding, language_id, packing, partenum, quality_rules, staging, toxicity, vector_graph,
 )
 
 #: Vocabulary of the byte-level encoder.
@@ -104,3 +104,26 @@ GROUP BY s.doc_id, s.n
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = staging.table(spark, sf_dir, "documents")
     return packing.pack(packing.pieces(documents, public_tokenizers.path(WORD_BPE)))
+
+
+@query
+def op6_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.link(staging.table(spark, sf_dir, "embeddings"), 0.93)
+
+
+ORACLES["op6_vector_graph"] = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+usable AS (
+  SELECT * FROM vectors WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND list_dot_product(v, v) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM vectors
+  UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT v.vec_id, CAST((SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS BIGINT) AS n_links, c.component_id,
+  v.vec_id = c.component_id AS kept FROM vectors v JOIN least c ON c.node = v.vec_id
+"""
