@@ -181,7 +181,6 @@ def sample_windows(labelled: DataFrame, rows: int) -> DataFrame:
 
     The number of rows wanted over the number there are is the share of ids taken.
     """
-    spark = labelled.sparkSession
     there = labelled.count()
     share = min(1.0, rows / max(there, 1))
     taken = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -202,7 +201,6 @@ def sample_windows(labelled: DataFrame, rows: int) -> DataFrame:
                     pa.array([data[s:s + m].tobytes() for s, m in zip(starts[keep], lengths[keep], strict=True)],
                              pa.binary())], names=schema.names)
 
-    del spark
     return taken.select("doc_id", "lang", "text").mapInArrow(cut, schema)
 
 
@@ -235,6 +233,16 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
+def _predictions(net: Network | None, texts: pa.Array, tables: list) -> Iterator[tuple[int, int, list[pa.Array]]]:
+    """Groups of rows with their language and score."""
+    for lo, hi, data, offsets in chunks(texts):
+        known = _has_letter(data, offsets) if net else np.zeros(hi - lo, bool)
+        p = net.predict(data, offsets, tables) if net else np.zeros((hi - lo, 1))
+        names = np.array([*(net.languages if net else []), UNKNOWN], object)
+        best = np.where(known, p.argmax(1), len(names) - 1)
+        yield lo, hi, [pa.array(names[best], pa.string()), pa.array(np.where(known, np.clip(p.max(1), 0, 1), 0.0))]
+
+
 def predict(documents: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, lang_pred, score) of each whole text."""
     schema = staging.fields(doc_id="bigint", lang_pred="string", score="double")
@@ -242,18 +250,24 @@ def predict(documents: DataFrame, net: Network | None) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else []
         for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(1)):
-                known = _has_letter(data, offsets) if net else np.zeros(hi - lo, bool)
-                p = net.predict(data, offsets, tables) if net else np.zeros((hi - lo, 1))
-                names = np.array([*(net.languages if net else []), UNKNOWN], object)
-                best = np.where(known, p.argmax(1), len(names) - 1)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo), pa.array(names[best], pa.string()),
-                    pa.array(np.where(known, np.clip(p.max(1), 0, 1), 0.0))], names=schema.names)
+            for lo, hi, new in _predictions(net, batch.column(1), tables):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *new], names=schema.names)
 
     return staging.plain(documents, {"doc_id": "bigint", "text": "string"}).mapInArrow(rows, schema)
 
 
+def annotate(documents: DataFrame, net: Network | None) -> DataFrame:
+    """`documents` with lang_pred and lang_score, all rows and columns kept."""
+    made: list = []
+
+    def rows(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        if not made:
+            made.append(net.tables() if net else [])
+        return _predictions(net, texts, made[0])
+
+    return staging.annotated(documents, rows, lang_pred="string", lang_score="double")
+
+
 def identify(documents: DataFrame, learn_from: Column | None = None) -> DataFrame:
     """Learn from the rows where `learn_from` holds and predict all rows."""
     columns = staging.plain(documents, {"doc_id": "bigint", "lang": "string", "text": "string"})

@@ -193,12 +193,32 @@ def learn(voted: DataFrame, names: list[str]) -> tuple[DataFrame, dict]:
     }
 
 
+def _voted(featured: DataFrame) -> DataFrame:
+    return featured.withColumns({
+        "base_failed": base_failed(), "pattern": F.concat(*[(v + 1).cast("string") for v in rules().values()])})
+
+
 def score(documents: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """One row per document: features, votes, quality (posterior of good), base_failed, kept."""
-    names = list(rules())
-    digits = [(v + 1).cast("string") for v in rules().values()]
-    voted = staging.stage(with_features(documents).withColumns({
-        "base_failed": base_failed(), "pattern": F.concat(*digits)}))
-    learned, _ = learn(voted, names)
+    voted = staging.stage(_voted(with_features(documents)))
+    learned, _ = learn(voted, list(rules()))
     return voted.join(F.broadcast(learned), "pattern").withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= keep_from))
+
+
+def keep(documents: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows that `score` keeps, with their columns.
+
+    Features are made twice, once for the pattern counts and once beside the rows: that costs less
+    than to send texts through a join.
+    """
+    learned, _ = learn(_voted(with_features(documents)), list(rules()))
+
+    def rows(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        for lo, hi, data, offsets in chunks(texts):
+            found = features(data, offsets)
+            yield lo, hi, [pa.array(found[f], pa.int64()) for f in FEATURES]
+
+    voted = _voted(staging.annotated(documents, rows, **dict.fromkeys(FEATURES, "bigint")))
+    return voted.join(F.broadcast(learned), "pattern").where(
+        ~F.col("base_failed") & (F.col("quality") >= keep_from)).select(*documents.columns)

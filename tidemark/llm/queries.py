@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    byte_bpe, html_text, kd_sharding, language_id, packing, partenum, quality_rules, staging, toxicity, vector_graph,
+    byte_bpe, html_text, kd_sharding, language_id, packing, partenum, quality_rules, staging, surrogates, toxicity,
+    vector_graph,
 )
 
 #: Vocabulary of the byte-level encoder.
@@ -17,6 +18,8 @@ BYTE_BPE = "byte_bpe_50k.tiktoken"
 #: Vocabulary of the packed sequences.
 WORD_BPE = "word_bpe_49k.json"
 SHARDS = 24
+#: Key of the registered queries; a deployment passes a secret of its own.
+SURROGATE_KEY = "tidemark"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +130,9 @@ least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
 SELECT v.vec_id, CAST((SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS BIGINT) AS n_links, c.component_id,
   v.vec_id = c.component_id AS kept FROM vectors v JOIN least c ON c.node = v.vec_id
 """
+
+
+@query
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = staging.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(documents, SURROGATE_KEY)
