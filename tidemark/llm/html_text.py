@@ -116,8 +116,8 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, int]]:
         closing, attributes = bool(tag.group(1)), tag.group(3) or ""
         if name in _RAW and not closing:
             if not attributes.endswith("/") or name in ("script", "style"):
-                close = re.compile(rf"</{name}(?=[\s/>]|$)", re.I).search(page, at)
-                at = n if not close else close.start()
+                close = re.compile(rf"</{name}(?=[\s/>]|$)[^>]*>?", re.I).search(page, at)
+                at = n if not close else close.end()
             continue
         if name == "a":
             links = 0 if closing else 1

@@ -28,6 +28,8 @@ WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20
 KEEP_FROM = 0.5
+SMOOTHING = 5
+ANCHOR = 0.95
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
             "n_upper", "n_letters", "n_marked", "n_pipes", "n_stops", "n_distinct", "n_plain"]
@@ -153,16 +155,19 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
     patterns: (p, rules) of -1, 0, 1. The start takes a document with an accusation for bad. A vote
     means what it says: a rule's bad votes are never more likely on good documents than on bad ones,
-    nor its good votes less likely. A rule that never votes gets no zero rate by a little smoothing.
+    nor its good votes less likely. What some rule praises and none accuses is held to be good, as an
+    anchor: else few documents, or mostly bad ones, could let the classes change their meaning.
+    A prior of SMOOTHING documents a class keeps rates of few votes from being extreme.
     """
     votes = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
     balance = (patterns == 1).sum(1) - 3.0 * (patterns == -1).sum(1)
     good = 1 / (1 + np.exp(-balance - 0.5))
+    anchor = (patterns >= 0).all(1) & (patterns > 0).any(1)
     prior = np.array([[0.3, 0.6, 0.1], [0.02, 0.6, 0.38]])
     share, rates = np.array([0.5, 0.5]), np.tile(prior[:, None, :], (1, patterns.shape[1], 1))
     for _ in range(rounds):
         weight = np.stack([(1 - good) * counts, good * counts])
-        rates = np.einsum("cp,pmv->cmv", weight, votes) + prior[:, None, :]
+        rates = np.einsum("cp,pmv->cmv", weight, votes) + SMOOTHING * prior[:, None, :]
         rates /= rates.sum(2, keepdims=True)
         for v, (low, high) in ((0, (1, 0)), (2, (0, 1))):
             wrong = rates[low, :, v] > rates[high, :, v]
@@ -173,6 +178,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         logs = np.einsum("pmv,cmv->pc", votes, np.log(rates)) + np.log(share)
         logs -= logs.max(1, keepdims=True)
         new = np.exp(logs[:, 1]) / np.exp(logs).sum(1)
+        new[anchor] = np.maximum(new[anchor], ANCHOR)
         done = np.abs(new - good).max(initial=0) < tolerance
         good = new
         if done:
