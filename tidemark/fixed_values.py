@@ -35,7 +35,7 @@ DATE_ALIASES = ["order.date", "order_date", "order date", "date", "transaction_d
 SALES_ALIASES = ["sales", "sale_amount", "revenue", "amount"]
 SKU_ALIASES = ["product.id", "product_id", "sku"]
 NAME_ALIASES = ["product.name", "product_name", "name"]
-CATEGORY_ALIASES = ["category", "category_1", "category_name_1"]
+CATEGORY_ALIASES = ["category", "category_1", "category_name_1", "sub.category", "sub_category"]
 DEFAULT_CATEGORY = "General"
 UNKNOWN_CATEGORY = "Unknown"
 

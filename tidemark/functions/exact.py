@@ -2,8 +2,9 @@
 
 Adding doubles gives different last bits for every task layout, so a retried or
 re-partitioned job would rank near-ties differently. Amounts are therefore added as
-whole units of ``10**-scale`` in a bigint (fast, map-side combinable, overflow raises)
-and turned back into a double once at the end.
+whole units of ``10**-scale`` in a wide decimal (a buffer of fixed size, combined before
+the shuffle, far from any overflow) and turned back into a double once at the end.
+Amounts that are not finite are no amounts and are left out.
 """
 
 from pyspark.sql import Column
@@ -16,20 +17,26 @@ def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def whole(value: Column) -> Column:
+    """The largest whole number not above a double, as a decimal; null if it is not finite."""
+    finite = F.abs(value) < F.lit(float("inf"))  # false for NaN, which is above all numbers
+    return F.when(finite, value - F.pmod(value, F.lit(1.0))).cast("decimal(38,0)")
+
+
 def units(value, scale: int = MONEY_SCALE) -> Column:
-    return F.floor(_col(value) * F.lit(10.0**scale) + F.lit(0.5))
+    return whole(_col(value).cast("double") * F.lit(10.0**scale) + F.lit(0.5))
 
 
 def exact_sum(value, scale: int = MONEY_SCALE) -> Column:
-    return F.sum(units(value, scale)) / F.lit(10.0**scale)
+    return F.sum(units(value, scale)).cast("double") / F.lit(10.0**scale)
 
 
 def exact_mean(value, scale: int = MONEY_SCALE) -> Column:
-    return exact_sum(value, scale) / F.count(_col(value))
+    return exact_sum(value, scale) / F.count(units(value, scale))
 
 
 def exact_rms(value, scale: int = 2) -> Column:
     """Root of the mean square; squares of whole units are added as wide decimals."""
-    whole = units(value, scale).cast("decimal(19,0)")
-    total = F.sum((whole * whole).cast("decimal(38,0)")).cast("double")
+    own = units(value, scale).cast("decimal(19,0)")
+    total = F.sum((own * own).cast("decimal(38,0)")).cast("double")
     return F.sqrt(total / F.count(_col(value))) / F.lit(10.0**scale)

@@ -1,5 +1,8 @@
 """SKU-day totals and everything derived from them per SKU."""
 
+import re
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,10 +80,20 @@ def keyword_match(keywords="keywords", *text_columns: str) -> Column:
 
 
 def keyword_filter(df: DataFrame, keywords: list[str] | None) -> DataFrame:
-    """Rows whose category or SKU matches one of the keywords."""
+    """Rows whose category or SKU matches one of the keywords; all rows if they make no valid pattern.
+
+    The pattern is one literal, so it is compiled once.
+    """
     if not keywords or fv.UNFILTERED_KEYWORD in keywords:
         return df
-    return df.where(keyword_match(F.array(*[F.lit(k) for k in keywords])))
+    pattern = "|".join(k.replace("+", "\\+").replace(".", "\\.") for k in keywords)
+    try:
+        re.compile(pattern)
+        df.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except (re.error, Py4JJavaError):
+        return df
+    hit = [F.coalesce(F.rlike(F.col(name), F.lit("(?iu)" + pattern)), F.lit(False)) for name in ("category", "sku")]
+    return df.where(hit[0] | hit[1])
 
 
 def modal_value(df: DataFrame, keys: list[str], column: str, weight=None) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.exact import whole
+
 Z95 = 1.96
 CENTS = 100.0
 _ONE = "_series"
@@ -50,7 +52,9 @@ def seasonal_trend_forecast(series: DataFrame, keys: tuple[str, ...] = (), horiz
     source = series if keys else series.withColumn(_ONE, F.lit(0))
     rows = _with_future(source, names, horizon, step_days)
     seen = c("y").isNotNull()
-    rows = rows.withColumn("u", F.floor(c("y") * CENTS + 0.5).cast("double")).withColumn(
+    rows = rows.withColumn("whole", whole(c("y") * CENTS + 0.5)).withColumn(
+        "u", c("whole").cast("double")
+    ).withColumn(
         "t", F.datediff("ds", F.min(F.when(seen, c("ds"))).over(one)).cast("double")
     )
     t = F.when(seen, c("t"))
@@ -60,7 +64,9 @@ def seasonal_trend_forecast(series: DataFrame, keys: tuple[str, ...] = (), horiz
 
     rows = rows.withColumns({
         "n": F.count("y").over(one).cast("double"),
-        "st": total(t), "stt": total(t * t), "su": total(c("u")), "stu": total(t * c("u")),
+        "st": total(t), "stt": total(t * t), "su": total(c("whole")).cast("double"),
+        # Wider than a double's 53 bits from some hundred million lines on.
+        "stu": total((t.cast("decimal(9,0)") * c("whole").cast("decimal(28,0)")).cast("decimal(38,0)")).cast("double"),
     })
     spread = c("n") * c("stt") - c("st") * c("st")
     slope = (c("n") * c("stu") - c("st") * c("su")) / F.nullif(spread, F.lit(0.0))
@@ -79,9 +85,9 @@ def seasonal_trend_forecast(series: DataFrame, keys: tuple[str, ...] = (), horiz
     rows = rows.withColumn(
         "day_effect", effect("r2", F.weekday("ds")) if weekday else F.lit(0.0)
     ).withColumn("r3", F.floor(c("r2") - c("day_effect") + 0.5))
-    whole = c("r3").cast("decimal(19,0)")
+    residual = c("r3").cast("decimal(19,0)")
     rows = rows.withColumns({
-        "ss": total((whole * whole).cast("decimal(38,0)")).cast("double"),
+        "ss": total((residual * residual).cast("decimal(38,0)")).cast("double"),
         "s": total(c("r3")).cast("double"),
     })
     variance = (c("ss") - c("s") * c("s") / c("n")) / F.nullif(c("n") - 1.0, F.lit(0.0))

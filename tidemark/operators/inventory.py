@@ -18,7 +18,8 @@ def synth_inventory(rollup: DataFrame, as_of) -> DataFrame:
     k = F.coalesce(F.col("sku").try_cast("bigint"), F.crc32(F.col("sku").cast("binary")))
 
     def mod(factor: int, modulus) -> Column:
-        return F.pmod(F.col("k") * factor, as_col(modulus)).cast("int")
+        # The key is reduced first, or a long one would overflow.
+        return F.pmod(F.pmod(F.col("k"), as_col(modulus)) * factor, as_col(modulus)).cast("int")
 
     on_hand = F.when(F.col("i") % 2 == 0, mod(37, F.lit(99)) + 1).otherwise(mod(59, F.lit(901)) + 100)
     reserve_cap = F.least(F.lit(50), F.floor(F.col("qty_on_hand") / F.lit(5)).cast("int")) + 1
@@ -46,7 +47,8 @@ def synth_inventory(rollup: DataFrame, as_of) -> DataFrame:
 
 
 def one_row_per_sku(inventory: DataFrame) -> DataFrame:
-    """The first row of each SKU: most recent restock, then lowest quantity, then warehouse.
+    """The first row of each SKU: most recent restock, then lowest quantity, then warehouse, cost and
+    price, then all other columns, so that no two different rows tie.
 
     Taken with a combinable minimum, so copies of a SKU never meet in one task.
     """
@@ -54,7 +56,7 @@ def one_row_per_sku(inventory: DataFrame) -> DataFrame:
     order = F.struct(
         F.coalesce(-F.unix_date("last_restock_date"), F.lit(2**31 - 1)).alias("a"),
         F.col("qty_on_hand").alias("b"),
-        *[F.col(c).alias(f"c_{c}") for c in ("warehouse", "cost_price", "msrp") if c in others],
+        *[F.col(c).alias(f"c_{c}") for c in dict.fromkeys(["warehouse", "cost_price", "msrp", *others]) if c in others],
     )
     best = F.min_by(F.struct(*others), order).alias("row")
     return inventory.where("sku is not null").groupBy("sku").agg(best).select("sku", "row.*")

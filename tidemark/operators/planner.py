@@ -16,9 +16,9 @@ from tidemark.functions.scalars import (
 def category_mix(heroes: DataFrame, category) -> DataFrame:
     """Heroes of a category, ignoring case; every hero of a campaign that has none of it.
 
-    ``All`` or a missing category keeps everything.
+    ``All``, a missing or an empty category keeps everything.
     """
-    wanted = F.lit(category) if isinstance(category, str) or category is None else category
+    wanted = F.nullif(F.lit(category) if isinstance(category, str) or category is None else category, F.lit(""))
     matches = F.lower(F.coalesce("category", F.lit(""))) == F.lower(wanted)
     flagged = heroes.withColumn("is_match", F.coalesce(matches, F.lit(False)))
     any_match = flagged.groupBy("campaign").agg(F.max("is_match").alias("any_match"))
@@ -35,9 +35,20 @@ def campaign_categories(heroes: DataFrame) -> DataFrame:
     return heroes.where(F.col("category") != "").select("campaign", "category").distinct()
 
 
-def pick_campaign(config: DataFrame, wanted: str) -> DataFrame:
-    """The wanted campaign when it is known, else the first one (``position`` order)."""
-    return config.orderBy((F.col("campaign") == F.lit(wanted)).desc(), "position").limit(1)
+def pick_campaign(config: DataFrame, wanted: str | None, planned: DataFrame | None = None) -> DataFrame:
+    """The wanted campaign when it is known, else the first planned one, else the first one.
+
+    ``planned`` has a column ``campaign``; "first" is by ``position``.
+    """
+    if planned is None:
+        is_planned = F.lit(False)
+    else:
+        names = planned.select("campaign").where("campaign is not null").distinct().withColumn("is_planned", F.lit(True))
+        config = config.join(names, "campaign", "left")
+        is_planned = F.coalesce("is_planned", F.lit(False))
+    found = config.orderBy(
+        F.coalesce(F.col("campaign") == F.lit(wanted), F.lit(False)).desc(), is_planned.desc(), "position").limit(1)
+    return found.drop("is_planned")
 
 
 def planner_units() -> Column:

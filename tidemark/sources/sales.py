@@ -28,10 +28,30 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def read_sales(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Raw sales with normalised headers. CSV values stay text until ``clean_sales``."""
+def _read_csv(spark: SparkSession, paths: str | list[str], multi_line: bool) -> DataFrame:
+    """CSV files as text columns with normalised headers.
+
+    Every delivery (one path) has its own header; columns are matched by name and those that a
+    delivery lacks are null there. ``multi_line`` allows line breaks inside quoted cells; a file is
+    then read by one task.
+    """
+    out = None
+    for path in [paths] if isinstance(paths, str) else paths:
+        part = normalise_headers(spark.read.csv(
+            path, header=True, encoding="utf-8", escape='"', multiLine=multi_line, enforceSchema=False))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no paths given")
+    return out
+
+
+def read_sales(spark: SparkSession, path: str | list[str], fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+    """Raw sales with normalised headers. CSV values stay text until ``clean_sales``.
+
+    A folder whose files have different headers is an error; give such files one by one.
+    """
     if fmt == "csv":
-        raw = spark.read.csv(path, header=True, encoding="utf-8", escape='"')
+        raw = _read_csv(spark, path, multi_line)
     elif fmt == "json":
         raw = spark.read.json(path)
     elif fmt in ("parquet", "orc"):
@@ -61,14 +81,14 @@ def clean_sales(raw: DataFrame) -> DataFrame:
             country.cast("string").alias("country"),
             F.trim(F.col(f"`{sales_col}`").cast("string")).try_cast("double").alias("sales"),
         )
-        .where("order_date is not null and sales > 0 and not isnan(sales) and sku <> ''")
+        .where("order_date is not null and sales > 0 and sales < double('infinity') and sku <> ''")
     )
 
 
-def read_inventory(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_inventory(spark: SparkSession, path: str | list[str], fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """Inventory rows; numbers and dates that cannot be read become null."""
     if fmt == "csv":
-        raw = normalise_headers(spark.read.csv(path, header=True, escape='"'))
+        raw = _read_csv(spark, path, multi_line)
     elif fmt == "json":
         # Both one record per line and one bracketed array per file.
         text = ", ".join(f"{c} string" for c in INVENTORY.names)

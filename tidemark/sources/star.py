@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 from tidemark.functions.exact import exact_sum
 from tidemark.schemas import EVENTS, STAR
 
+#: A sold line; NaN is above all numbers and so is no sale.
+SOLD = "l_extendedprice > 0 and l_extendedprice < double('infinity')"
+
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(STAR[name]).parquet(f"{path}/{name}.parquet")
 
 
 def _dated_lines(spark: SparkSession, path: str, *order_columns: str, skus=None) -> DataFrame:
-    lines = table(spark, path, "lineitem").where("l_extendedprice > 0").select(
+    lines = table(spark, path, "lineitem").where(SOLD).select(
         "l_orderkey", "l_partkey", "l_extendedprice"
     )
     if skus is not None:
@@ -53,7 +56,7 @@ def daily(spark: SparkSession, path: str) -> DataFrame:
     """
     per_order = (
         table(spark, path, "lineitem")
-        .where("l_extendedprice > 0")
+        .where(SOLD)
         .groupBy("l_orderkey")
         .agg(exact_sum("l_extendedprice").alias("amount"))
     )
@@ -120,7 +123,7 @@ def _event_columns(events: DataFrame) -> DataFrame:
         "user_id",
         "event_type",
         "value",
-        F.get_json_object("props", "$.k").cast("bigint").cast("string").alias("sku"),
+        F.get_json_object("props", "$.k").try_cast("bigint").cast("string").alias("sku"),
     )
 
 
@@ -137,10 +140,10 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def sku_totals(spark: SparkSession, path: str) -> DataFrame:
-    """Total sales per SKU with product columns; orders are not needed for it."""
+    """Total sales per SKU with product columns, returns included; orders are not needed for it."""
     per_part = (
         table(spark, path, "lineitem")
-        .where("l_extendedprice > 0")
+        .where("l_extendedprice < double('infinity')")
         .groupBy("l_partkey")
         .agg(exact_sum("l_extendedprice").alias("total_sales"))
         .withColumn("sku", F.col("l_partkey").cast("string"))

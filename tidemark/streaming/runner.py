@@ -1,71 +1,69 @@
-"""Running streams over what is available now."""
+"""Running streams over what is available now.
 
-from contextlib import contextmanager
+A stream runs until its input is used up, however long that takes. Rows and checkpoint lie in
+folders that the caller may name; a run that was cut off goes on from there when it is called
+again with the same ones, and repeats no row. Without names they get a fresh working folder.
+The session's settings are left alone; the number of state partitions is the number of shuffle
+partitions when a checkpoint begins.
+"""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.operators.ranking import newest
 from tidemark.session import work_folder
 
-TIMEOUT_SECONDS = 1800
 
+def run_to_table(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Process all available input in append mode; the finished rows as a table."""
+    spark = stream.sparkSession
+    base = folder or work_folder(spark, label)
+    stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows").option(
+        "checkpointLocation", f"{base}/checkpoint"
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
-@contextmanager
-def _state_partitions(spark: SparkSession):
-    """Start a stream with at most two state partitions per core.
 
-    Their number is fixed for the life of a checkpoint and each one is a store to open and
-    commit per batch; more of them than the cluster can run at once only costs time. A
-    started query keeps its own copy of the setting.
-    """
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+def _read_if_there(spark, schema, path: str) -> DataFrame | None:
     try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def _finish(query, label: str, timeout: int) -> None:
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(f"stream {label} did not finish in {timeout} s")
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
-def run_to_table(stream: DataFrame, label: str, timeout: int = TIMEOUT_SECONDS) -> DataFrame:
-    """Process all available input in append mode; the finished rows as a table.
+def run_ticker(stream: DataFrame, label: str = "ticker", n: int = fv.TICKER_ROWS, folder: str | None = None) -> DataFrame:
+    """The newest ``n`` rows of a stream.
 
-    Rows and checkpoint lie in the shared working folder, so a restarted or lost executor
-    (or driver) resumes without repeating rows.
+    Each micro-batch writes the newest rows so far, its own and those of the batch before, to one of
+    two folders in turn; a repeated batch writes the same again. So ``2 n`` rows are stored at most.
     """
     spark = stream.sparkSession
-    base = work_folder(spark, label)
-    with _state_partitions(spark):
-        query = (
-            stream.writeStream.outputMode("append").format("parquet")
-            .option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint")
-            .trigger(availableNow=True).start()
-        )
-    _finish(query, label, timeout)
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
-
+    base = folder or work_folder(spark, label)
+    schema = stream.schema.add("batch", "long")
 
-def run_ticker(stream: DataFrame, label: str = "ticker", n: int = fv.TICKER_ROWS,
-               timeout: int = TIMEOUT_SECONDS) -> DataFrame:
-    """The newest ``n`` rows of a stream. Each micro-batch keeps its own newest rows in a
-    folder named by its number, so a repeated batch overwrites itself."""
-    spark = stream.sparkSession
-    base = work_folder(spark, label)
+    def slot(number: int) -> str:
+        return f"{base}/rows/slot={number % 2}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        newest(batch, n).write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
-
-    query = (
-        stream.writeStream.foreachBatch(keep)
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    _finish(query, label, timeout)
-    return newest(spark.read.schema(stream.schema).parquet(f"{base}/rows").drop("batch"), n)
+        session = batch.sparkSession
+        rows = batch.drop("batch")
+        before = _read_if_there(session, schema, slot(number + 1))
+        if before is not None:
+            rows = rows.unionByName(before.drop("batch"))
+        kept = newest(rows, n).selectExpr("*", f"{number}L AS batch")
+        kept.coalesce(1).write.mode("overwrite").parquet(slot(number))
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    last, rows = -1, spark.createDataFrame([], stream.schema)
+    for i in range(2):
+        found = _read_if_there(spark, schema, slot(i))
+        number = None if found is None else found.agg(F.max("batch")).first()[0]
+        if number is not None and number > last:
+            last, rows = number, found.drop("batch")
+    return newest(rows, n)
