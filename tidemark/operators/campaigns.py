@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
-from tidemark.functions.exact import exact_mean
+from tidemark.functions.exact import MONEY_SCALE, exact_mean, units
 from tidemark.functions.scalars import as_col, clip
 
 _CONFIG = pa.schema([
@@ -85,25 +85,59 @@ def holiday_days(daily: DataFrame, config: DataFrame) -> DataFrame:
     return dated.withColumn("is_holiday", flag).drop("years")
 
 
+def holiday_dates(daily: DataFrame, config: DataFrame) -> DataFrame:
+    """``(campaign, month, ds)``: the dates of each campaign's windows, a few per campaign and year."""
+    windows = holiday_windows(daily, config).join(config.select("campaign", "month"), "campaign")
+    return windows.select(
+        "campaign", "month", F.explode(F.sequence("window_start", "window_end")).alias("ds")
+    ).distinct()
+
+
+def _days(rows: Column, name: str) -> list[Column]:
+    """Number of days, of days with an amount, and the exact total of the rows that hold."""
+    own = F.when(rows, units("y"))
+    return [F.count_if(rows).alias(f"{name}_days"), F.count(own).alias(f"{name}_n"), F.sum(own).alias(f"{name}_sum")]
+
+
+def _less(whole: str, part: str) -> tuple[Column, Column]:
+    """Number and total of the days of ``whole`` that are not in ``part``."""
+    return tuple(
+        F.coalesce(f"{whole}_{x}", F.lit(0)) - F.coalesce(f"{part}_{x}", F.lit(0)) for x in ("n", "sum")
+    )
+
+
+def _mean(number: Column, total: Column) -> Column:
+    return F.when(number > 0, total.cast("double") / F.lit(10.0**MONEY_SCALE) / number)
+
+
 def observed_lift(daily: DataFrame, config: DataFrame) -> DataFrame:
     """Mean holiday day over mean comparable day, per campaign.
 
     Comparable: the campaign's month outside its windows, or, with fewer than five such
     days, every day outside. The configured lift stands in when either mean is missing.
+
+    Days meet windows by an equi-join on the date; what lies outside is the whole less what
+    lies inside, in exact sums. So no day is paired with every campaign.
     """
     c = F.col
-    plain = ~c("is_holiday")
-    same_month = plain & (F.month("ds") == c("month"))
-    means = (
-        holiday_days(daily, config)
-        .groupBy("campaign")
-        .agg(
-            F.count_if("is_holiday").alias("holiday_days"),
-            F.count_if(same_month).alias("month_days"),
-            exact_mean(F.when(c("is_holiday"), c("y"))).alias("holiday_mean"),
-            exact_mean(F.when(same_month, c("y"))).alias("month_mean"),
-            exact_mean(F.when(plain, c("y"))).alias("outside_mean"),
-        )
+    all_days = F.lit(True)
+    inside = holiday_dates(daily, config).join(daily.select("ds", "y"), "ds").groupBy("campaign").agg(
+        *_days(all_days, "holiday"), *_days(F.month("ds") == c("month"), "holiday_month")
+    )
+    months = daily.groupBy(F.month("ds").alias("month")).agg(*_days(all_days, "in_month"))
+    whole = daily.agg(F.struct(*_days(all_days, "all"))).scalar()
+    joined = (
+        config.select("campaign", "month")
+        .join(inside, "campaign", "left").join(months, "month", "left")
+        .withColumn("whole", whole).select("*", "whole.*")
+    )
+    means = joined.select(
+        "campaign",
+        F.coalesce("holiday_days", F.lit(0)).alias("holiday_days"),
+        (F.coalesce("in_month_days", F.lit(0)) - F.coalesce("holiday_month_days", F.lit(0))).alias("month_days"),
+        _mean(c("holiday_n"), c("holiday_sum")).alias("holiday_mean"),
+        _mean(*_less("in_month", "holiday_month")).alias("month_mean"),
+        _mean(*_less("all", "holiday")).alias("outside_mean"),
     )
     too_few = c("month_days") < fv.MIN_BASELINE_DAYS
     baseline = F.when(too_few, c("outside_mean")).otherwise(c("month_mean"))

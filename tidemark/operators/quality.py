@@ -36,17 +36,23 @@ def missing_values(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def table_checks(df: DataFrame, table: str) -> DataFrame:
-    """Nulls in required columns and repeats of the unique key of a relational table."""
+    """Nulls in required columns and repeats of the unique key of a relational table.
+
+    Both come from one pass: nulls are counted per key, and the counts added up.
+    """
     spec = TABLES[table]
-    rows = duplicate_keys(df, spec["unique"]).agg(
-        F.lit("unique").alias("rule"), F.lit(",".join(spec["unique"])).alias("column_name"),
-        F.count(F.lit(1)).alias("n_bad"),
+    required = list(spec["required"])
+    missing = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(required)]
+    per_key = df.groupBy(*spec["unique"]).agg(F.count(F.lit(1)).alias("n_rows"), *missing)
+    totals = per_key.agg(
+        F.count_if(F.col("n_rows") > 1).alias("repeats"),
+        *[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(required))],
     )
-    if spec["required"]:
-        rows = rows.unionByName(missing_values(df, spec["required"]).select(
-            F.lit("required").alias("rule"), "column_name", F.col("n_missing").alias("n_bad")
-        ))
-    return rows.select(F.lit(table).alias("table_name"), "rule", "column_name", "n_bad")
+    entry = lambda rule, column, n: F.struct(
+        F.lit(rule).alias("rule"), F.lit(column).alias("column_name"), F.col(n).cast("bigint").alias("n_bad"))
+    entries = [entry("unique", ",".join(spec["unique"]), "repeats")]
+    entries += [entry("required", c, f"n{i}") for i, c in enumerate(required)]
+    return totals.select(F.lit(table).alias("table_name"), F.inline(F.array(*entries)))
 
 
 def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:

@@ -510,6 +510,8 @@ ORACLES: dict[str, str] = {
     "pick_campaign": twin("""
       SELECT campaign, peak_date, projected_volume FROM plan
       ORDER BY CASE WHEN campaign = 'Summer Sale' THEN 0 ELSE 1 END, position LIMIT 1"""),
+    "pick_planned": twin("""
+      SELECT campaign, projected_volume FROM plan WHERE position > 2 ORDER BY position LIMIT 1"""),
     "planner_units": twin("""
       SELECT campaign, rank, sku, units, signal, s.strategy, color
       FROM planned LEFT JOIN strategies s USING (signal)"""),
@@ -618,6 +620,11 @@ ORACLES: dict[str, str] = {
     "live_critical": twin("""
       SELECT hour_start, COUNT(*) FILTER (eta_oos_mins < 20) AS critical_count,
         MIN(eta_oos_mins) AS least_minutes FROM closed_etas GROUP BY 1"""),
+    "critical_list": twin("""
+      SELECT *, COUNT(*) OVER (PARTITION BY sku) AS n_hours FROM (
+        SELECT hour_start, ROW_NUMBER() OVER (PARTITION BY hour_start ORDER BY eta_oos_mins, sku) AS position, sku, minutes,
+          CASE WHEN minutes < 60 THEN minutes || 'm remaining' ELSE (minutes // 60) || 'h ' || (minutes % 60) || 'm' END AS reason
+        FROM (SELECT *, CAST(FLOOR(eta_oos_mins) AS BIGINT) AS minutes FROM closed_etas WHERE eta_oos_mins < 20))"""),
     "live_ticker": twin("SELECT event_id, ts, user_id, value, sku FROM sold ORDER BY ts DESC, event_id DESC LIMIT 10"),
     "live_sessions": twin("""
       SELECT user_id, session_start, session_end, n_events FROM all_sessions

@@ -3,6 +3,7 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
@@ -386,6 +387,13 @@ def campaign_categories(x):
     return planner.campaign_categories(x.heroes)
 
 
+@query
+def pick_planned(x):
+    """No campaign is asked for by a known name, so the first planned one is picked."""
+    planned = x.plan.where("position > 2").select("campaign")
+    return planner.pick_campaign(x.plan, "Summer Sale", planned).select("campaign", "projected_volume")
+
+
 @query
 def pick_campaign(x):
     return planner.pick_campaign(x.plan, "Summer Sale").select("campaign", "peak_date", "projected_volume")
@@ -636,6 +644,21 @@ def live_critical(x):
     )
 
 
+@query
+def critical_list(x):
+    """The SKUs about to sell out, per hour and most urgent first, exported as lines and read back."""
+    listed = live.critical(sku_etas(x)).select("hour_start", "sku", "eta_oos_mins").withColumn(
+        "position", F.row_number().over(W.partitionBy("hour_start").orderBy("eta_oos_mins", "sku"))
+    )
+    path = work_folder(x.spark, "critical")
+    listed = materialise(listed, "critical-list")
+    sinks.export_critical_skus(listed.orderBy("hour_start", "position"), path)
+    exported = x.spark.read.text(path).groupBy(F.col("value").alias("sku")).agg(F.count(F.lit(1)).alias("n_hours"))
+    return listed.join(exported, "sku").select(
+        "hour_start", "position", "sku", F.floor("eta_oos_mins").alias("minutes"), cover_label("eta_oos_mins").alias("reason"),
+        "n_hours")
+
+
 @query
 def live_ticker(x):
     sold = live.purchases(x.event_stream).select("event_id", "ts", "user_id", "value", "sku")
@@ -718,7 +741,7 @@ def duplicate_keys(x):
 
 @query
 def null_checks(x):
-    gaps = star.sales(x.spark, x.path).select(
+    gaps = star.dated_sales(x.spark, x.path, category=True).select(
         "sku", F.nullif("category", F.lit("PROMO")).alias("category"),
         F.when(F.month("order_date") != 2, F.col("order_date")).alias("order_date"), "sales",
     )
@@ -746,7 +769,7 @@ def orphans_removed(x):
 @query
 def table_checks(x):
     """Rules of the relational sales table on raw lines: the (SKU, date) key repeats."""
-    lines = star.sales(x.spark, x.path).select(
+    lines = star.dated_sales(x.spark, x.path).select(
         "sku", F.col("order_date").alias("date"), F.col("sales").alias("gmv")
     )
     return quality.table_checks(tables.conform(lines, "sales_data"), "sales_data")

@@ -48,6 +48,17 @@ def sales(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def dated_sales(spark: SparkSession, path: str, category: bool = False) -> DataFrame:
+    """Order lines with their day, and the category if asked; no other table is joined."""
+    lines = _dated_lines(spark, path)
+    columns = ["order_date", F.col("l_partkey").cast("string").alias("sku"), F.col("l_extendedprice").alias("sales")]
+    if category:
+        part = table(spark, path, "part").select("p_partkey", F.col("p_type").alias("category"))
+        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        columns.append("category")
+    return lines.select(*columns)
+
+
 def daily(spark: SparkSession, path: str) -> DataFrame:
     """Total sales per day ``(ds, y)`` without touching the product tables.
 
