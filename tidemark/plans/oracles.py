@@ -624,7 +624,7 @@ ORACLES: dict[str, str] = {
       SELECT *, COUNT(*) OVER (PARTITION BY sku) AS n_hours FROM (
         SELECT hour_start, ROW_NUMBER() OVER (PARTITION BY hour_start ORDER BY eta_oos_mins, sku) AS position, sku, minutes,
           CASE WHEN minutes < 60 THEN minutes || 'm remaining' ELSE (minutes // 60) || 'h ' || (minutes % 60) || 'm' END AS reason
-        FROM (SELECT *, CAST(FLOOR(eta_oos_mins) AS BIGINT) AS minutes FROM closed_etas WHERE eta_oos_mins < 20))"""),
+        FROM (SELECT *, CAST(FLOOR(eta_oos_mins) AS BIGINT) AS minutes FROM closed_etas WHERE eta_oos_mins < 1440))"""),
     "live_ticker": twin("SELECT event_id, ts, user_id, value, sku FROM sold ORDER BY ts DESC, event_id DESC LIMIT 10"),
     "live_sessions": twin("""
       SELECT user_id, session_start, session_end, n_events FROM all_sessions

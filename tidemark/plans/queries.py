@@ -29,6 +29,8 @@ NARROW_KEYWORDS = {
     "Halloween": ["All", "none"],
     "Christmas": ["no such word"],
 }
+# The list query looks further ahead than the alert, which this data hardly ever raises.
+CRITICAL_LIST_MINUTES = 1440
 FILTER_KEYWORDS = ["promo", "Std+", "199", "dar."]
 
 
@@ -647,7 +649,7 @@ def live_critical(x):
 @query
 def critical_list(x):
     """The SKUs about to sell out, per hour and most urgent first, exported as lines and read back."""
-    listed = live.critical(sku_etas(x)).select("hour_start", "sku", "eta_oos_mins").withColumn(
+    listed = live.critical(sku_etas(x), CRITICAL_LIST_MINUTES).select("hour_start", "sku", "eta_oos_mins").withColumn(
         "position", F.row_number().over(W.partitionBy("hour_start").orderBy("eta_oos_mins", "sku"))
     )
     path = work_folder(x.spark, "critical")

@@ -144,9 +144,9 @@ def watchlist(sku_etas: DataFrame, paced: DataFrame) -> DataFrame:
     )
 
 
-def critical(sku_etas: DataFrame) -> DataFrame:
-    """SKUs that run out within 20 minutes."""
-    return sku_etas.where(F.col("eta_oos_mins") < fv.CRITICAL_MINUTES)
+def critical(sku_etas: DataFrame, minutes: float = fv.CRITICAL_MINUTES) -> DataFrame:
+    """SKUs that run out within so many minutes."""
+    return sku_etas.where(F.col("eta_oos_mins") < minutes)
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
