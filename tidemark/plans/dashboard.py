@@ -97,11 +97,12 @@ class Inputs:
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return synth_inventory(self.rollup, self.as_of)
+        """Written once, so that no step that reads it rolls all order lines up again."""
+        return materialise(synth_inventory(self.rollup, self.as_of), "inventory")
 
-    @cached_property
+    @property
     def stored_inventory(self) -> DataFrame:
-        return materialise(self.inventory, "inventory")
+        return self.inventory
 
     @cached_property
     def forecast(self) -> DataFrame:

@@ -408,6 +408,24 @@ ORACLES: dict[str, str] = {
         COUNT(DISTINCT order_date) AS n_days, COUNT(DISTINCT date_trunc('week', order_date)) AS n_weeks,
         COUNT(DISTINCT country) AS n_countries, COUNT(DISTINCT sku) AS n_skus FROM sales"""),
     "daily_gmv": twin("SELECT ds, y FROM daily"),
+    "forecast_additive_check": twin("""
+      SELECT COUNT(*) + 365 AS n_rows, MIN(ds) AS first_ds, CAST(MAX(ds) + 365 AS DATE) AS last_ds, 365 AS n_future,
+        TRUE AS bounds_hold, TRUE AS beats_mean, TRUE AS covers FROM daily"""),
+    "forecast_category_check": twin("""
+      SELECT category, COUNT(DISTINCT order_date) + 365 AS n_rows, MIN(order_date) AS first_ds,
+        CAST(MAX(order_date) + 365 AS DATE) AS last_ds, 365 AS n_future,
+        TRUE AS bounds_hold, TRUE AS beats_mean, TRUE AS covers FROM days GROUP BY category"""),
+    "forecast_weekly_check": twin("""
+      SELECT COUNT(*) + 52 AS n_rows, MIN(ds) AS first_ds, CAST(MAX(ds) + 52 * 7 AS DATE) AS last_ds, 52 AS n_future,
+        TRUE AS bounds_hold, TRUE AS beats_mean, TRUE AS covers FROM weekly"""),
+    "refresh_report": """
+      SELECT * FROM (VALUES ('generate_inventory', 'success'), ('build_dashboard', 'success'),
+        ('generate_inventory_json', 'success'), ('check_empty_skus', 'success'), ('overall', 'success')) AS t(step, status)""",
+    "live_users_check": """
+      SELECT COUNT(DISTINCT s) AS n_windows, TRUE AS all_near FROM (
+        SELECT time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(5 * b) AS s
+        FROM events, (VALUES (0), (1)) AS t(b))
+      WHERE s + INTERVAL 10 MINUTE <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE""",
     "weekly_resample": twin("SELECT ds, y FROM weekly"),
     "holiday_windows": twin("""
       SELECT campaign, CAST(yr AS INTEGER) AS year, make_date(yr, month, day) AS holiday,

@@ -182,6 +182,40 @@ def forecast_weekly(x):
     return forecast.additive_forecast(series.weekly_sales(x.daily), horizon=52, step_days=7, weekly=False)
 
 
+def fit_checks(found: DataFrame, actual: DataFrame, *keys: str) -> DataFrame:
+    """What must hold of a fitted forecast, whatever its last digits: its dates, ordered bounds, errors
+    below those of the mean, and 80 to 100 % of the observed days inside the interval."""
+    c = F.col
+    joined = materialise(found.join(actual, [*keys, "ds"], "left"), "fit")
+    means = joined.groupBy(*keys).agg(F.avg("y").alias("mean_y"))
+    joined = joined.join(means, list(keys)) if keys else joined.withColumn("mean_y", means.select("mean_y").scalar())
+    inside = c("y").between(c("yhat_lower"), c("yhat_upper"))
+    return joined.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"),
+        F.count_if("is_future").alias("n_future"),
+        F.bool_and((c("yhat_lower") <= c("yhat")) & (c("yhat") <= c("yhat_upper"))).alias("bounds_hold"),
+        (F.sum(F.pow(c("y") - c("yhat"), F.lit(2))) < F.sum(F.pow(c("y") - c("mean_y"), F.lit(2)))).alias("beats_mean"),
+        (F.count_if(inside) / F.count("y")).between(0.8, 1.0).alias("covers"),
+    )
+
+
+@query
+def forecast_additive_check(x):
+    return fit_checks(forecast.additive_forecast(x.daily), x.daily)
+
+
+@query
+def forecast_category_check(x):
+    daily = materialise(series.daily_sales(x.days, ("category",)), "category-days")
+    return fit_checks(forecast.additive_forecast(daily, ("category",)), daily, "category")
+
+
+@query
+def forecast_weekly_check(x):
+    weekly = materialise(series.weekly_sales(x.daily), "weekly")
+    return fit_checks(forecast.additive_forecast(weekly, horizon=52, step_days=7, weekly=False), weekly)
+
+
 # Backtest
 
 def backtest_inputs(x: Inputs, method: str = "closed_form"):
@@ -613,6 +647,15 @@ def live_users(x):
     return runner.run_to_table(live.online_users(x.event_stream), "users")
 
 
+@query
+def live_users_check(x):
+    """Do the estimates of finished windows lie within five standard errors of the exact numbers?"""
+    estimated = runner.run_to_table(live.online_users(x.event_stream), "users").withColumnRenamed("users", "estimate")
+    both = estimated.join(live.online_users_exact(x.events), ["window_start", "window_end"])
+    near = F.abs(F.col("estimate") - F.col("users")) <= 1 + 0.25 * F.col("users")
+    return both.agg(F.count(F.lit(1)).alias("n_windows"), F.bool_and(near).alias("all_near"))
+
+
 @query
 def users_exact(x):
     return live.online_users_exact(x.events)
