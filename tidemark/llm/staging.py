@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_sent: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Give the executors this package, once an application, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _sent:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="tidemark-")) / f"{root.name}-package.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(path))  # the driver serves it to the executors
+    _sent.add(context.applicationId)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` and return what was written."""
     spark = df.sparkSession
@@ -49,6 +68,7 @@ def plain(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     Only these columns go on, so other columns of `df` may have any names. A name that occurs
     twice in `df` is taken at its first place.
     """
+    send_package(df.sparkSession)
     places = {}
     for i, name in enumerate(df.columns):
         places.setdefault(name, i)
@@ -65,6 +85,7 @@ def annotated(documents: DataFrame, annotate: Callable[[pa.Array], Iterator[tupl
 
     annotate: from a batch of texts, (first row, last row + 1, new columns) of groups of its rows.
     """
+    send_package(documents.sparkSession)
     clash = set(types) & set(documents.columns)
     if clash or len(set(documents.columns)) < len(documents.columns):
         raise ValueError(f"column names clash: {sorted(clash) or documents.columns}")
