@@ -15,8 +15,8 @@ without losing a pair:
 3. Each set is verified against one hub in every group of sets with a common signature, the one with
    the most shared signatures. Verified links are merged to components.
 4. Groups that still hold several components are searched for further pairs, between components
-   only: two sets are compared by a byte of each signature, and verified if enough of them agree.
-   Large groups are split into blocks, so that a task holds two blocks at most.
+   only: sketches of a finer partition are compared, a byte a part, and pairs are verified if as many
+   bytes agree as must. Large groups are split into blocks, so that a task holds two blocks at most.
 
 Verification is exact on 64-bit hashes of n-grams. Equal sets (64-bit hash of the set) are one
 class throughout, and copies met by one task write their signatures once; pairs are never expanded
@@ -53,6 +53,8 @@ SPAN = {90: 0.62, 80: 0.45}
 #: Signatures that must be shared, as a part of the differences allowed.
 EXTRA = 0.2
 SMALL = 3
+#: Parts of a sketch for each difference allowed.
+FINE = 4
 BLOCK = 512
 MOST_SIZE = 1 << 40
 
@@ -181,6 +183,23 @@ class Sets:
             sizes.append(len(row))
         return np.concatenate(pieces), np.concatenate([[0], np.cumsum(sizes)])
 
+    def sketch(self, b: Bands, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A byte of what a set has in each of FINE parts a difference; offsets; bytes that must agree.
+
+        Every element in which two sets differ changes one part at most.
+        """
+        n = len(self.sizes)
+        most = np.array([b.differences(h) for h in b.high])
+        parts = np.where(band >= 0, FINE * (most[np.maximum(band, 0)] + 1), 0)
+        base = np.concatenate([[0], np.cumsum(parts)])
+        use = np.flatnonzero(parts[self.owner] > 0)
+        owner, grams = self.owner[use], self.grams[use]
+        spread = mix(grams + _PART)
+        part = ((spread >> _U(32)) * parts[owner].astype(_U)) >> _U(32)
+        sums = np.zeros(base[-1], _U)
+        np.add.at(sums, base[owner] + part.astype(np.int64), mix(grams ^ _U(0x5851F42D4C957F2D)))
+        return (mix(sums) & _U(0xFF)).astype(np.uint8), base, parts - self.allowed(b) * (parts > 0)
+
     def allowed(self, b: Bands) -> np.ndarray:
         return (self.sizes + self.sizes * 100 // b.percent) * (100 - b.percent) // (100 + b.percent)
 
@@ -239,7 +258,7 @@ def _sign(documents: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _fetch(documents: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
-    """Sets of the wanted (doc_id, class_id): sorted n-grams, and a byte of every signature by role."""
+    """Sets of the wanted (doc_id, class_id): sorted n-grams, and the sketch of each role."""
     schema = staging.fields(doc_id="bigint", class_id="bigint", grams="binary", bytes0="binary", bytes1="binary",
                             shared0="int", shared1="int")
 
@@ -250,13 +269,11 @@ def _fetch(documents: DataFrame, wanted: DataFrame, size: int, percent: int) ->
                 sets = Sets(data, offsets, size)
                 home = sets.home(b)
                 after = np.where((home >= 0) & (sets.sizes >= b.low[np.minimum(home + 1, len(b.low) - 1)]), home + 1, -1)
-                allowed, short, least = sets.allowed(b), [], []
+                short, least = [], []
                 for band in (home, after):
-                    found, places = sets.signatures(b, band)
-                    low = (found & _U(0xFF)).astype(np.uint8)
+                    low, places, agree = sets.sketch(b, band)
                     short.append(pa.array([low[x:y].tobytes() for x, y in zip(places, places[1:], strict=False)], pa.binary()))
-                    least.append(pa.array([
-                        b.shared(int(i), int(k)) if i >= 0 else 0 for i, k in zip(band, allowed, strict=True)], pa.int32()))
+                    least.append(pa.array(agree, pa.int32()))
                 edges = np.searchsorted(sets.owner, np.arange(hi - lo + 1))
                 grams = [np.sort(sets.grams[x:y]).tobytes() for x, y in zip(edges, edges[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
@@ -292,7 +309,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _between(groups: DataFrame) -> DataFrame:
-    """Pairs of classes of different components in a group, with enough equal signature bytes.
+    """Pairs of classes of different components in a group, with enough equal sketch bytes.
 
     groups: sig, u, v (blocks), block, class_id, part (component), bytes, shared. Read in order of
     (sig, u, v), so that only one group of two blocks is held at a time.
