@@ -20,9 +20,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,8 @@ GENERATIONS = 12
 PATIENCE = 4
 #: Bins filled less than this are dissolved for the next level.
 FILLED = 0.98
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
+_MARKS = ".,;:!?#*$%&|<>"
 
 _SPACES = re.compile("[^\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -60,15 +63,32 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        # Python also splits at the separators 0x1C-0x1F, which the vocabulary takes for symbols.
-        split = [(_SPACES.findall(t) if _SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
+        split = [self._split(t) if t else [] for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         known = self.words
-        new = list({w for words in split for w in words if w not in known})
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        new = set(chain.from_iterable(split)).difference(known)
+        # Letters and a closing run of marks are tokenized apart, so they are looked up apart (beyond
+        # Latin-1, folding a letter may give a combining mark, which would join the run).
+        cores = {w: c for w in new if (c := w.rstrip(_MARKS)) != w and c.isalpha() and max(c) < "\u0100"}
+        single = new.difference(cores).union(cores.values(), [w[len(c):] for w, c in cores.items()]).difference(known)
+        single = list(single)
+        for word, found in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            known[word] = array("I", found.ids).tobytes()
+        for word, core in cores.items():
+            known[word] = known[core] + known[word[len(core):]]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """Words; in small letters where that is sure to be the tokenizer's own folding."""
+        # Python also splits at the separators 0x1C-0x1F, which the vocabulary takes for symbols.
+        words = _SPACES.findall if _SEPARATORS.search(text) else str.split
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return words(text)
+        return words(text.lower())
 
 
 @lru_cache(2)
