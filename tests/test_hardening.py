@@ -153,3 +153,11 @@ def test_first_planned_campaign(spark):
     assert planner.pick_campaign(known, "C", planned).first()["campaign"] == "C"
     assert planner.pick_campaign(known, None).first()["campaign"] == "A"
     assert planner.pick_campaign(known, "zzz", planned).columns == ["campaign", "position"]
+
+
+def test_the_per_task_cut_holds_for_large_numbers(spark):
+    """More than 1,000 ranks a campaign are still cut before the shuffle."""
+    rows = [(f"c{i % 2}", f"s{i}", float(i)) for i in range(50)]
+    totals = spark.createDataFrame(rows, "campaign string, sku string, total double")
+    ranked = totals.withColumn("r", F.expr("row_number() over (partition by campaign order by total desc)")).where("r <= 5000")
+    assert "WindowGroupLimit" in ranked._jdf.queryExecution().executedPlan().toString()

@@ -25,22 +25,22 @@ def hero_products(days: DataFrame, products: DataFrame, inventory: DataFrame, co
     without it the ranking uses full precision.
     """
     c = F.col
-    # campaigns x (max(5n, 30) + 2n) rows at most, so the broadcasts below are bounded. The
-    # rows are read three times and cost a full scan, so they are written once.
+    # The rows are read three times and cost a full scan, so they are written once. Their size
+    # is known then, and Spark broadcasts what is small enough.
     totals = month_totals(days if months is None else months, config)
     chosen = materialise(candidates(totals, n), "candidates")
-    chosen_skus = F.broadcast(chosen.select("sku").distinct())
+    chosen_skus = chosen.select("sku").distinct()
     picked = days_of(chosen_skus) if days_of else days.join(chosen_skus, "sku", "left_semi")
     # One row per candidate SKU, category and day, read for metrics and for categories.
     chosen_days = materialise(picked, "candidate-days")
     metrics = sku_metrics(chosen_days, inventory, as_of)
     if rounded:
         metrics = rounded_metrics(metrics)
-    categories = F.broadcast(month_category(chosen_days, config))
+    categories = month_category(chosen_days, config)
     names = products.select("sku", "name").join(chosen_skus, "sku", "left_semi")
     scored = (
-        chosen.join(F.broadcast(metrics), "sku")
-        .join(F.broadcast(names), "sku", "left")
+        chosen.join(metrics, "sku")
+        .join(names, "sku", "left")
         .join(categories, ["campaign", "sku"], "left")
         .withColumns({
             "name": F.coalesce("name", "sku"),
@@ -62,11 +62,6 @@ def top_movers(heroes: DataFrame, n: int = 5) -> DataFrame:
     return heroes.where(F.col("rank") <= n)
 
 
-def with_rank(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """Rows numbered from 1 within each key."""
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-
-
 def newest(df: DataFrame, n: int = fv.TICKER_ROWS, time: str = "ts", tie: str = "event_id") -> DataFrame:
     return df.orderBy(F.desc(time), F.desc(tie)).limit(n)
 

@@ -11,6 +11,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # The per-task cut of a top-k by rank holds for any k that a caller asks for.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000000",
     # Merge a user's open sessions before the shuffle, so a hot user sends few rows.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Keyed state (SKU-hours, event ids) outgrows the executor heap on a long stream.
