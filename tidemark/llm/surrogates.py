@@ -54,7 +54,18 @@ PATTERNS = [
     ("secret", r"(?:(?<=[=:\"'])|(?<=[=:] ))(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key) ?[=:] ?[\"']?)"
                r"[A-Za-z0-9_+/\-]{6,}", r"."),
 ]
-PATTERN = "|".join(f"(?:{p})" for _, p, _ in PATTERNS)
+
+
+def _pattern() -> str:
+    """One pattern of all kinds. What begins with a word is only tried where a word begins, and
+    numbers only at digits, since most places of a text are neither."""
+    numbers = {"address", "security", "card"}
+    words = "|".join(f"(?:{p})" for k, p, _ in PATTERNS[:-1] if k not in numbers)
+    digits = "|".join(f"(?:{p})" for k, p, _ in PATTERNS if k in numbers)
+    return rf"(?<![{_WORD}])(?:{words})|(?=\d)(?:{digits})|{PATTERNS[-1][1]}"
+
+
+PATTERN = _pattern()
 
 _SYLLABLES = {  # consonants, vowels, ends of male and of female given names
     "latin": ("bdfgklmnprstvzhj", "aeiouaeiouaeioua", "n", "a"),
