@@ -423,9 +423,10 @@ def follow(found: DataFrame, nodes: DataFrame, lists: DataFrame, least: float) -
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(cosine), pa.array(cosine >= least)], names=schema.names)
 
-    seen = found.select("query", F.explode("hits.node").alias("node"))
-    front = staging.stage(found.select("query", F.explode("frontier").alias("node")).distinct()
-                          .join(seen, ["query", "node"], "left_anti").where("query <> node"))
+    wanted = staging.stage(found.select("query", F.explode("frontier").alias("node")).where("query <> node").distinct())
+    # Hits are listed only for the queries that go on.
+    seen = found.join(wanted.select("query").distinct(), "query", "left_semi").select("query", F.explode("hits.node").alias("node"))
+    front = wanted if wanted.isEmpty() else staging.stage(wanted.join(seen, ["query", "node"], "left_anti"))
     tried, hits = None, None
     reach = math.acos(least)
     while not front.isEmpty():
