@@ -68,3 +68,41 @@ def test_audit_sees_missing_hits(spark):
     _, nodes = vector_graph.classes(frame)
     none = spark.createDataFrame([], "query bigint, node bigint")
     assert vector_graph.audit(nodes, none, 0.93) == 0.0
+
+
+def test_pairs_beside_a_core_that_centres_do_not_part(spark, monkeypatch):
+    """A core of nearly equal vectors takes no shard's pairs with it, neither its own label's nor another's."""
+    monkeypatch.setattr(vector_graph, "SHARD", 40)
+    monkeypatch.setattr(vector_graph, "CENTRES", 6)
+    monkeypatch.setattr(vector_graph, "audit", lambda *_: 1.0)  # the first try alone
+    rng = np.random.default_rng(11)
+    core = rng.normal(size=16) + 1e-9 * rng.normal(size=(500, 16))
+    loose = rng.normal(size=(40, 16))
+    pairs = np.concatenate([loose, loose + 0.05 * rng.normal(size=loose.shape)])
+    other = rng.normal(size=(300, 16))
+    others = np.concatenate([other, other + 0.05 * rng.normal(size=other.shape)])
+    x, labels = np.concatenate([core, pairs, others]), [0] * (len(core) + len(pairs)) + [1] * len(others)
+    rows = [(i, [float(v) for v in row], a) for i, (row, a) in enumerate(zip(x, labels, strict=True))]
+    number, component = brute(rows, 0.93)
+    found = vector_graph.link(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert all(r["n_links"] <= number[r["vec_id"]] for r in found)
+    lone = [r for r in found if r["vec_id"] >= len(core)]
+    assert np.mean([r["n_links"] == number[r["vec_id"]] for r in lone]) > 0.97
+    assert np.mean([r["component_id"] == component[r["vec_id"]] for r in lone]) > 0.97
+    assert all(r["n_links"] == number[r["vec_id"]] for r in found if r["vec_id"] < len(core))
+
+
+def test_windows_part_a_shard_without_a_core(spark, monkeypatch):
+    """Where centres part nothing and nothing is dense, near vectors still share a shard."""
+    monkeypatch.setattr(vector_graph, "SHARD", 40)
+    monkeypatch.setattr(vector_graph, "STUCK", 0.0)
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(150, 8))
+    x = np.concatenate([x, x + 1e-4 * rng.normal(size=x.shape)])
+    rows = [(i, [float(v) for v in row], 0) for i, row in enumerate(x)]
+    _, nodes = vector_graph.classes(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    at = {}
+    for r in vector_graph.shards(nodes, 2, 0.93).select("node", "cluster").collect():
+        at.setdefault(r["node"], set()).add(r["cluster"])
+    assert len(at) == len(x) and len(set.union(*at.values())) > 3
+    assert all(at[i] & at[i + 150] for i in range(150))

@@ -4,8 +4,9 @@ Only vectors of one label (and length) are compared. Equal vectors are one class
 
 Shards: centres of each label are fitted on a bounded sample (SAMPLE vectors of a label or of a shard
 that is still too large), and every class goes to its OVERLAP nearest centres, so shards overlap.
-Shards that stay too large, because their vectors hardly differ, are dealt out by hash, each class
-to OVERLAP pieces.
+A shard that its own centres leave more than STUCK of is parted by a ball around its dense core
+instead (the core's pieces are dealt by hash, the rest goes on by centres), or by overlapping
+windows along its widest directions if it has no such core.
 
 Build: in each shard the nearest candidates of a vector are pruned robustly (a candidate is dropped
 if one that was kept is nearer to it by the factor ALPHA), edges are taken both ways and pruned
@@ -47,6 +48,7 @@ OVERLAP = 2
 CANDIDATES = 64
 DEGREE = 24
 ALPHA = 1.2
+STUCK = 0.8
 BEAM = 32
 AUDIT = 256
 LEAST_RECALL = 0.9
@@ -82,12 +84,37 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _centres(sample: DataFrame) -> DataFrame:
-    """Spherical k-means on each cluster's sample; its column `number` says how many centres."""
-    schema = staging.fields(cluster="string", centres="array<array<double>>")
+_PLAN = "cluster string, centres array<array<double>>, radius double, cuts array<array<double>>"
 
+
+def _wide(x: np.ndarray, node: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Places along directions; equal ones are parted by a hash of the node."""
+    mixed = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
+    return x @ directions.T + (mixed / 2.0**53 * 1e-9)[:, None]
+
+
+def _core(x: np.ndarray, reach: float) -> tuple[np.ndarray, float] | None:
+    """(centre, radius) of a ball that holds a fifth or more and whose vectors are all in range of each other."""
+    asked = x[np.random.default_rng(7).choice(len(x), min(len(x), 64), replace=False)]
+    chord = 2 * math.sin(reach / 4)  # of half the reach
+    apart = np.sqrt(np.maximum(2 - 2 * asked @ x.T, 0))
+    near = apart <= chord
+    best = int(near.sum(1).argmax())
+    if near[best].sum() < len(x) / 5:
+        return None
+    # As narrow as most of them allow; no narrower than rounding.
+    return asked[best], max(float(np.quantile(apart[best][near[best]], 0.95)) * 1.000001, 1e-7)
+
+
+def _plans(sample: DataFrame, overlap: int, least: float) -> DataFrame:
+    """How each cluster is parted, by its sample; the column `number` says how many centres.
+
+    Spherical k-means. If its largest part kept over four fifths of the cluster: by a ball (one
+    centre, a radius), or, if no ball holds a fifth, by windows along directions (`cuts`).
+    """
     def fit(table: pa.Table) -> pa.Table:
-        x = unit(matrix(table.sort_by("node")["vector"]))
+        table = table.sort_by("node")
+        x = unit(matrix(table["vector"]))
         k = min(int(table["number"][0].as_py()), len(x))
         rng = np.random.default_rng(5)
         centres = x[rng.choice(len(x), k, replace=False)]
@@ -98,56 +125,96 @@ def _centres(sample: DataFrame) -> DataFrame:
             empty = np.abs(sums).sum(1) == 0
             sums[empty] = x[rng.choice(len(x), int(empty.sum()))]
             centres = unit(sums + 1e-12)
+        own = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :overlap]
+        radius, cuts = None, None
+        if np.bincount(own.ravel()).max() > STUCK * len(x):
+            core = _core(x, math.acos(least))
+            if core is not None:
+                centres, radius = core[0][None], core[1]
+            else:
+                _, _, turned = np.linalg.svd(x - x.mean(0), full_matrices=False)
+                centres = turned[:overlap]
+                halves = max(3, math.ceil(table["n"][0].as_py() / (SHARD / 2)))
+                places = _wide(x, table["node"].to_numpy(), centres)
+                cuts = np.quantile(places, np.arange(1, halves) / halves, axis=0).T.tolist()
         return pa.table({"cluster": pa.array([table["cluster"][0].as_py()], pa.string()),
-                         "centres": pa.array([centres.tolist()], pa.list_(pa.list_(pa.float64())))})
+                         "centres": pa.array([centres.tolist()], pa.list_(pa.list_(pa.float64()))),
+                         "radius": pa.array([radius], pa.float64()),
+                         "cuts": pa.array([cuts], pa.list_(pa.list_(pa.float64())))})
 
-    return sample.groupBy("cluster").applyInArrow(fit, schema)
+    return sample.groupBy("cluster").applyInArrow(fit, _schema(_PLAN))
 
 
-def shards(nodes: DataFrame, overlap: int) -> DataFrame:
-    """(node, vector, copies, cluster): each class in its overlapping shards."""
+def shards(nodes: DataFrame, overlap: int, least: float) -> DataFrame:
+    """(node, vector, copies, cluster): each class in its overlapping shards.
+
+    A ball's core and all that can be in range of it are dealt out by hash: core vectors are in
+    range of each other, so any piece leads to all of them. Everything outside the core is parted
+    further, so two vectors in range are both in the one or both in the other. Windows overlap by
+    half: vectors that are at most half a window apart along a direction share one.
+    """
     schema = staging.fields(node="bigint", copies="bigint", cluster="string", vector="array<double>")
+    reach = math.acos(least)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             names = np.array(batch.column(2).to_pylist(), object)
             rows, found = [], []
             for name in sorted(set(names)):
                 own = np.flatnonzero(names == name)
                 centres = np.array(batch.column(4)[int(own[0])].as_py())
+                radius, cuts = batch.column(5)[int(own[0])].as_py(), batch.column(6)[int(own[0])].as_py()
                 x = unit(matrix(batch.column(3).take(pa.array(own))))
-                near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :overlap]
-                for j in range(near.shape[1]):
-                    rows.append(own)
-                    found += [f"{name}/{c}" for c in near[:, j]]
+                if radius is not None:
+                    apart = np.sqrt(((x - centres[0]) ** 2).sum(1))
+                    angle = 2 * np.arcsin(np.minimum(apart / 2, 1))
+                    inner = 2 * math.asin(min(radius / 2, 1))
+                    for part, mark in ((angle <= inner + reach + 1e-9, "!"), (angle > inner, "/o")):
+                        rows.append(own[part])
+                        found += [f"{name}{mark}"] * int(part.sum())
+                elif cuts is not None:
+                    node = batch.column(0).to_numpy()[own]
+                    places = _wide(x, node, centres)
+                    for j, c in enumerate(cuts):
+                        half = np.searchsorted(np.array(c), places[:, j], side="right")
+                        windows = np.stack([np.maximum(half - 1, 0), np.minimum(half, len(c) - 1)])
+                        for i, w in enumerate(windows):
+                            part = slice(None) if i == 0 else w != windows[0]
+                            rows.append(own[part])
+                            found += [f"{name}/{j}w{v}" for v in w[part]]
+                else:
+                    near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :overlap]
+                    for j in range(near.shape[1]):
+                        rows.append(own)
+                        found += [f"{name}/{c}" for c in near[:, j]]
             at = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found), batch.column(3).take(at)],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.string()), batch.column(3).take(at)],
                 names=["node", "copies", "cluster", "vector"])
 
-    done, rest, before = [], nodes.select("node", "copies", "cluster", "vector"), None
+    done, rest = [], nodes.select("node", "copies", "cluster", "vector")
     while True:
         sizes = staging.stage(rest.groupBy("cluster").agg(F.count("*").alias("n")))
-        large = sizes.where(F.col("n") > 2 * SHARD)
-        top = large.agg(F.max("n"), F.count("*")).first()
+        ball = F.col("cluster").endswith("!")
+        large = sizes.where((F.col("n") > 2 * SHARD) & ~ball)
         done.append(rest.join(sizes.where(F.col("n") <= 2 * SHARD).select("cluster"), "cluster", "left_semi").select(*schema.names))
-        if not top[1]:
-            break
-        open_rows = rest.join(large, "cluster")
-        if before is not None and top[0] > 0.8 * before:
-            # Vectors that centres do not part: by hash, each to pieces of its own.
+        dense = sizes.where((F.col("n") > 2 * SHARD) & ball)
+        if not dense.isEmpty():
             pieces = F.ceil(F.col("n") * overlap / (2 * SHARD)).cast("int")
             at = [F.pmod(F.xxhash64("node", F.lit(j)), pieces) for j in range(overlap)]
-            done.append(open_rows.withColumn("piece", F.explode(F.array_distinct(F.array(*at)))).withColumn(
+            done.append(rest.join(dense, "cluster").withColumn("piece", F.explode(F.array_distinct(F.array(*at)))).withColumn(
                 "cluster", F.concat_ws("#", "cluster", F.col("piece").cast("string"))).select(*schema.names))
+        if large.isEmpty():
             break
-        before = top[0]
+        open_rows = rest.join(large, "cluster")
         number = F.least(F.ceil(overlap * F.col("n") / SHARD), F.lit(CENTRES)).cast("int")
         share = F.least(F.lit(SAMPLE) / F.col("n"), F.lit(1.0)) * (1 << 20)
         sample = open_rows.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < share)
-        centres = staging.stage(_centres(sample.select("cluster", "node", "vector", number.alias("number"))))
-        rest = staging.stage(rest.join(centres, "cluster").select(
-            "node", "copies", "cluster", "vector", "centres").mapInArrow(assign, schema))
+        plans = staging.stage(_plans(sample.select("cluster", "node", "vector", "n", number.alias("number")), overlap, least))
+        rest = staging.stage(rest.join(plans, "cluster").select(
+            "node", "copies", "cluster", "vector", "centres", "radius", "cuts").mapInArrow(assign, schema))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -478,7 +545,7 @@ def link(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     rows, nodes = classes(vectors)
     overlap, beam = OVERLAP, BEAM
     while True:
-        sharded = shards(nodes, overlap)
+        sharded = shards(nodes, overlap, least)
         lists = adjacency(sharded)
         found = search(sharded, lists, least, beam)
         further = follow(found, nodes, lists, least)
