@@ -106,3 +106,33 @@ def test_windows_part_a_shard_without_a_core(spark, monkeypatch):
         at.setdefault(r["node"], set()).add(r["cluster"])
     assert len(at) == len(x) and len(set.union(*at.values())) > 3
     assert all(at[i] & at[i + 150] for i in range(150))
+
+
+def test_audit_counts_queries_and_not_only_pairs(spark):
+    """A dense group's many pairs do not hide that all small groups are missing."""
+    rng = np.random.default_rng(17)
+    dense = rng.normal(size=16) + 1e-3 * rng.normal(size=(80, 16))
+    small = rng.normal(size=(80, 16))
+    x = np.concatenate([dense, small, small + 1e-3 * rng.normal(size=small.shape)])
+    rows = [(i, [float(v) for v in row], 0) for i, row in enumerate(x)]
+    _, nodes = vector_graph.classes(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    found = spark.createDataFrame([(i, j) for i in range(80) for j in range(80) if i != j], "query bigint, node bigint")
+    assert vector_graph.audit(nodes, found, 0.93) < 0.5
+
+
+def test_all_are_compared_when_no_try_is_good_enough(spark, monkeypatch):
+    """A search that finds nothing at any width ends in the exact links."""
+    monkeypatch.setattr(vector_graph, "SHARD", 60)
+    none = "array<struct<node:bigint,copies:bigint>>"
+    monkeypatch.setattr(vector_graph, "search", lambda sharded, *_: sharded.selectExpr(
+        "node AS query", f"CAST(array() AS {none}) AS hits", "CAST(array() AS array<bigint>) AS frontier", "node AS root"))
+    monkeypatch.setattr(vector_graph, "follow", lambda *_: None)
+    rows = made(7, 300)
+    # A chain, each vector in range of the next ones only, numbered out of order.
+    for i, turn in enumerate(np.random.default_rng(19).permutation(20)):
+        rows.append((300 + i, [float(np.cos(0.3 * turn)), float(np.sin(0.3 * turn))], 3))
+    number, component = brute(rows, 0.93)
+    assert component[319] == 300
+    found = vector_graph.link(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in found} == number
+    assert {r["vec_id"]: r["component_id"] for r in found} == component

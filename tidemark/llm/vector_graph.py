@@ -20,8 +20,9 @@ followed only if the angles allow it to be in range. Neighbours that lie in othe
 rounds over the whole graph (joins of written tables), until none is left.
 
 All links are cosines in double precision of the vectors themselves. An audit compares AUDIT queries
-(by hash) with all rows by brute force; below LEAST_RECALL all is done again with more overlap and a
-wider beam.
+(by hash) with all rows by brute force, by pairs and by query, so that one dense group cannot hide
+what small groups lack. Below LEAST_RECALL all is done again with more overlap and a wider beam; if
+the last try is below it too, all vectors of a label are compared in blocks.
 
 Nulls: a null label, vector or id, a zero vector, or one with null or non-finite numbers is linked
 with nothing; it is its own component. Repeated rows count as vectors of their own. Empty tables give
@@ -45,6 +46,7 @@ SHARD = 1500
 SAMPLE = 8192
 CENTRES = 64
 OVERLAP = 2
+MOST_OVERLAP = 8
 CANDIDATES = 64
 DEGREE = 24
 ALPHA = 1.2
@@ -510,8 +512,54 @@ def follow(found: DataFrame, nodes: DataFrame, lists: DataFrame, least: float) -
     return None if hits is None else hits.select("query", "node", "copies")
 
 
+def exact(nodes: DataFrame, least: float) -> DataFrame:
+    """As `search`, by comparing all vectors of a label: blocks of about SHARD, each pair of blocks a task."""
+    sizes = staging.stage(nodes.groupBy("cluster").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks")))
+    own = nodes.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
+    tasks = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "copies", "vector")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        ids, copies, x, side = (table["node"].to_numpy(), table["copies"].to_numpy(), matrix(table["vector"]),
+                                table["own"].to_numpy())
+        u, one = unit(x), table["a"][0].as_py() == table["b"][0].as_py()
+        hits, pairs, root = [], [], np.arange(len(ids))
+        for i in range(0, len(ids), 256):
+            part = np.arange(i, min(i + 256, len(ids)))
+            q, v = np.nonzero(u[part] @ u.T >= least - 1e-9)
+            q = part[q]
+            wanted = (q != v) & (one | (side[q] != side[v]))
+            q, v = q[wanted], v[wanted]
+            _, ok = _in_range(x, u, q, v, least)
+            q, v = q[ok], v[ok]
+            hits += np.split(v, np.searchsorted(q, part[1:]))
+            pairs.append((q, v))
+        q, v = (np.concatenate(z) for z in zip(*pairs, strict=True))
+        while True:
+            now = root.copy()
+            np.minimum.at(now, q, root[v])
+            np.minimum.at(now, v, root[q])
+            now = now[now]
+            if (now == root).all():
+                break
+            root = now
+        lengths = np.concatenate([[0], np.cumsum([len(h) for h in hits])]).astype(np.int32)
+        to = np.concatenate(hits)
+        return pa.table({
+            "query": pa.array(ids),
+            "hits": pa.ListArray.from_arrays(pa.array(lengths), pa.StructArray.from_arrays(
+                [pa.array(ids[to]), pa.array(copies[to])], names=["node", "copies"])),
+            "frontier": pa.array([[]] * len(ids), pa.list_(pa.int64())), "root": pa.array(ids[root])})
+
+    return staging.stage(tasks.groupBy("cluster", "a", "b").applyInArrow(compare, _schema(_FOUND)))
+
+
 def audit(nodes: DataFrame, hits: DataFrame, least: float, queries: int = AUDIT) -> float:
-    """Recall of `hits` for a sample of classes, against all classes by brute force in blocks."""
+    """Recall of `hits` for a sample of classes, against all classes by brute force in blocks.
+
+    The smaller of two: over all pairs, and the mean over the queries that have links.
+    """
     order = F.xxhash64("node", F.lit(3))
     asked = nodes.orderBy(order).limit(queries).select("node", "cluster", "vector").toArrow()
     if not asked.num_rows:
@@ -536,8 +584,9 @@ def audit(nodes: DataFrame, hits: DataFrame, least: float, queries: int = AUDIT)
 
     true = nodes.select("node", "cluster", "vector").mapInArrow(brute, staging.fields(query="bigint", node="bigint")).where("query <> node")
     mine = hits.where(F.col("query").isin(ids.tolist())).select("query", "node", F.lit(1).alias("found")).distinct()
-    total = true.join(mine, ["query", "node"], "left").agg(F.count("*"), F.count("found")).first()
-    return total[1] / total[0] if total[0] else 1.0
+    each = true.join(mine, ["query", "node"], "left").groupBy("query").agg(F.count("*").alias("n"), F.count("found").alias("got"))
+    total = each.agg(F.sum("n"), F.sum("got"), F.avg(F.col("got") / F.col("n"))).first()
+    return min(total[1] / total[0], total[2]) if total[0] else 1.0
 
 
 def link(vectors: DataFrame, least: float = 0.93) -> DataFrame:
@@ -545,17 +594,20 @@ def link(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     rows, nodes = classes(vectors)
     overlap, beam = OVERLAP, BEAM
     while True:
-        sharded = shards(nodes, overlap, least)
-        lists = adjacency(sharded)
-        found = search(sharded, lists, least, beam)
-        further = follow(found, nodes, lists, least)
+        if overlap > MOST_OVERLAP:
+            found, further = exact(nodes, least), None
+        else:
+            sharded = shards(nodes, overlap, least)
+            lists = adjacency(sharded)
+            found = search(sharded, lists, least, beam)
+            further = follow(found, nodes, lists, least)
         # A class's hits in its shards, and elsewhere.
         parts = found.select("query", "hits")
         if further is not None:
             parts = parts.unionAll(further.groupBy("query").agg(F.collect_set(F.struct("node", "copies")).alias("hits")))
         own = staging.stage(parts.groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits")))
-        recall = audit(nodes, own.select("query", F.explode("hits.node").alias("node")), least)
-        if recall >= LEAST_RECALL or overlap >= 8:
+        if overlap > MOST_OVERLAP or audit(
+                nodes, own.select("query", F.explode("hits.node").alias("node")), least) >= LEAST_RECALL:
             break
         overlap, beam = overlap * 2, beam * 2
     edges = found.select(F.col("query").alias("a"), F.col("root").alias("b"))
