@@ -54,3 +54,12 @@ def test_odd_rows(spark):
     found = html_text.extract(frame).collect()
     assert sorted((r["text"], r["n_chars"]) for r in found) == [("", 0)] * 3 + [("a", 1)]
     assert html_text.extract(frame.where("false")).count() == 0
+
+
+def test_a_teaser_in_an_article_element_is_not_the_page():
+    card = "<article class=teaser><h2>Elsewhere</h2><p>Read this.</p></article>"
+    body = f"<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
+    assert main_text(body + "<div class=promo>x</div>" * 5 + card) == "\n".join([LONG] * 3)
+    # Text as long as the article's counts outside of it too; a line beside it does not.
+    assert main_text(f"<article><p>{LONG}</p><p>Two.</p></article><p>{LONG[:90]}</p>") == f"{LONG}\nTwo.\n{LONG[:90]}"
+    assert main_text(f"<p>aside</p><article><p>{LONG}</p><p>Two.</p></article>") == f"{LONG}\nTwo."

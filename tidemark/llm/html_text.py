@@ -2,12 +2,14 @@
 
 Markup is stripped to lines: every block element and line break ends a line. Each line has a text
 length, which counts as 0 inside menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments (told by element, role, class or id), for lines that are mostly links, and outside
-the page's article or main element where there is one. Sums over sliding windows of LINES lines
-then show where text surges up and where it dives to nothing; the lines between are the main text.
+reader comments (told by element, role, class or id) and for lines that are mostly links. Sums over
+sliding windows of LINES lines then show where text surges up and where it dives to nothing; the
+lines between are the main text. A stretch must reach LEAST_SURGE characters in some window and a
+fifth of the longest stretch.
 
-A page with an article or main element keeps every stretch of text in it, however short. Otherwise
-a stretch must reach LEAST_SURGE characters in some window and a fifth of the longest stretch.
+An article or main element that holds most of such text is the page's zone: every line in it is
+kept, however short, and stretches outside it must pass the windows. One that holds less, a teaser
+card say, decides nothing.
 
 Result: blocks in page order joined by a line feed, white space inside a block made one blank,
 character references decoded. Nulls: a null or empty page has empty text; page_id and url may be
@@ -173,15 +175,24 @@ def main_text(page: str | None) -> str:
     found = [x for x in lines(page or "") if x[0]]
     if not found:
         return ""
-    places = [x[3] for x in found if not x[2]]
-    zone = max(places, default=0)
+    # Links do not count as text outside an article or main element.
     weights = np.array([
-        0 if unwanted or place < zone or (linked > MOST_LINKED * len(text) and not zone) else len(text)
+        0 if unwanted or (linked > MOST_LINKED * len(text) and not place) else len(text)
         for text, linked, unwanted, place in found], np.int64)
-    kept = []
-    for a, b in between(weights, 1 if zone else LEAST_SURGE) or between(weights, 1):
-        kept += [found[i][0] for i in range(a, b) if weights[i]]
-    return "\n".join(kept)
+    places = np.array([x[3] for x in found])
+    zone = next((z for z in (2, 1) if 2 * weights[places >= z].sum() > weights.sum()), 0)
+    if not zone:
+        weights[[linked > MOST_LINKED * len(text) for text, linked, _, _ in found]] = 0
+        kept = between(weights, LEAST_SURGE) or between(weights, 1)
+        chosen = np.zeros(len(found), bool)
+    else:
+        outside = np.where(places >= zone, 0, weights)
+        longest = int(weights[places >= zone].sum())
+        kept = [(a, b) for a, b in between(outside, LEAST_SURGE) if 5 * outside[a:b].sum() >= longest]
+        chosen = places >= zone
+    for a, b in kept:
+        chosen[a:b] = True
+    return "\n".join(x[0] for x, c, w in zip(found, chosen, weights, strict=True) if c and w)
 
 
 def extract(pages: DataFrame) -> DataFrame:
