@@ -63,3 +63,25 @@ def test_a_teaser_in_an_article_element_is_not_the_page():
     # Text as long as the article's counts outside of it too; a line beside it does not.
     assert main_text(f"<article><p>{LONG}</p><p>Two.</p></article><p>{LONG[:90]}</p>") == f"{LONG}\nTwo.\n{LONG[:90]}"
     assert main_text(f"<p>aside</p><article><p>{LONG}</p><p>Two.</p></article>") == f"{LONG}\nTwo."
+
+
+@pytest.mark.parametrize("inside", [
+    "<section id='side-effects'><p>Nausea.</p></section>", "<h2 id='related-work'>Related work</h2>",
+    "<section id='notice'><p>Of a month.</p></section>", "<div id='notice-period'>Three months.</div>",
+    "<div class='ad-hoc'>Made for it.</div>", "<section id='share-capital'>Of a million.</section>",
+    "<fieldset>Set apart.</fieldset>", "<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "<p><object>shown</object></p>",
+])
+def test_words_of_names_are_no_names(inside):
+    want = " ".join(html.unescape(re.sub("<[^>]*>", "", inside)).split())
+    assert main_text(f"<article><p>{LONG}</p>{inside}<p>{LONG}</p></article>") == f"{LONG}\n{want}\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["ad-slot", "related-posts", "siteFooter", "x cookie_notice", "ad1", "comment-list", "sidebar-left"])
+def test_compounds_of_names_are_left_out(name):
+    assert main_text(f"<article><p>{LONG}</p><div class='{name}'>Gone.</div></article>") == LONG
+
+
+def test_short_text_between_and_closing_sentences_stay():
+    gap = "<div class=promo>x</div>" * 4
+    assert main_text(f"<p>{LONG}</p>{gap}<p>Short between</p>{gap}<p>{LONG}</p>{gap}<p>It ends here.</p>") == \
+        f"{LONG}\nShort between\n{LONG}\nIt ends here."

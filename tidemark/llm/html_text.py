@@ -5,7 +5,11 @@ length, which counts as 0 inside menus, headers, footers, sidebars, notices, adv
 reader comments (told by element, role, class or id) and for lines that are mostly links. Sums over
 sliding windows of LINES lines then show where text surges up and where it dives to nothing; the
 lines between are the main text. A stretch must reach LEAST_SURGE characters in some window and a
-fifth of the longest stretch.
+fifth of the longest stretch, or lie between two that do, or come after them, in no article or main
+element, and end a sentence.
+
+A class or id tells a menu, an advert and the like only as a whole: a known name, or a compound of
+known names and words of layout. Ids of headings, and of sections in an article, tell nothing.
 
 An article or main element that holds most of such text is the page's zone: every line in it is
 kept, however short, and stretches outside it must pass the windows. One that holds less, a teaser
@@ -37,12 +41,13 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
     "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
-    "tt", "u", "var", "wbr",
+    "tt", "u", "var", "wbr", "object",
+    "math", "mfrac", "mi", "mn", "mo", "mover", "mrow", "msqrt", "msub", "msubsup", "msup", "mtext", "munder", "semantics",
 }
 _RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "noembed", "noframes", "xmp"}
 _DROPPED = {
-    "nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "select", "svg", "math", "object",
-    "canvas", "audio", "video", "fieldset", "datalist", "map",
+    "nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "select", "svg",
+    "canvas", "audio", "video", "datalist", "map",
 }
 _ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert", "alertdialog", "menu",
           "menubar", "toolbar", "form"}
@@ -55,7 +60,17 @@ _NAMES = {
     "pager", "toolbar", "masthead", "topbar", "copyright", "disclaimer", "skip",
 }
 _HEADERS = {"header", "masthead"}
-_DENIED = {"with", "has", "no", "without", "not"}
+#: What may stand beside such a name in one class or id that still means the same ("ad-slot", "related-posts").
+_BESIDE = {
+    "slot", "box", "bar", "list", "item", "items", "area", "wrap", "wrapper", "container", "block", "unit", "panel",
+    "link", "links", "button", "buttons", "icon", "icons", "inner", "outer", "top", "bottom", "left", "right", "main",
+    "site", "page", "global", "primary", "secondary", "mobile", "desktop", "post", "posts", "article", "articles",
+    "story", "stories", "news", "form", "row", "col", "column", "section", "header", "title", "text", "media", "user",
+    "thread", "count", "to", "google", "leaderboard", "sticky", "fixed", "inline", "native", "unit", "label",
+}
+
+_TITLES = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_ENDED = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 
 _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>?)|[!?][^>]*>?)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
@@ -75,9 +90,13 @@ def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
         if key == "role" and value.lower() in _ROLES:
             return True
         if key in ("class", "id"):
-            words = [w.lower() for w in _WORD.findall(value)]
-            for before, word in zip(["", *words], words, strict=False):
-                if before not in _DENIED and (word in _NAMES or (word in _HEADERS and not in_article)):
+            if key == "id" and (name in _TITLES or (name == "section" and in_article)):
+                continue  # made of the heading's words
+            for token in value.split():
+                words = [w.lower() for w in _WORD.findall(token) if not w.isdigit()]
+                told = [w in _NAMES or (w in _HEADERS and not in_article) for w in words]
+                if "".join(words) in _NAMES or (any(told) and all(
+                        t or w in _BESIDE for t, w in zip(told, words, strict=True))):
                     return True
     return False
 
@@ -185,6 +204,10 @@ def main_text(page: str | None) -> str:
         weights[[linked > MOST_LINKED * len(text) for text, linked, _, _ in found]] = 0
         kept = between(weights, LEAST_SURGE) or between(weights, 1)
         chosen = np.zeros(len(found), bool)
+        if kept:  # short stretches between, and closing sentences
+            last = kept[-1][1]
+            after = [i for i in range(last, len(found)) if weights[i] and not places[i] and _ENDED.search(found[i][0])]
+            kept = [(kept[0][0], last), *((i, i + 1) for i in after)]
     else:
         outside = np.where(places >= zone, 0, weights)
         longest = int(weights[places >= zone].sum())
