@@ -109,3 +109,28 @@ def test_odd_rows(odd, nothing):
     assert sorted(map(str, [(r["doc_id"], r["text"]) for r in rows.collect()])) == \
         sorted(map(str, [(r["doc_id"], r["text"]) for r in odd.collect()]))
     assert surrogates.replace(nothing, KEY).count() == 0
+
+
+@pytest.mark.parametrize(("text", "shape"), [
+    ("_jo.7@mail3.example.com_", r"_[\w.]+@\w+\.example\.\w{3}_"), ("-jo@x.com", r"-\w+@\w+\.example\.\w{3}"),
+    ("see ...jo@x.com", r"see \.\.\.\w+@\w+\.example\.\w{3}"),
+    ("Mrs. Anna Maria Schmidt came", r"Mrs\. \w+a \w+a \w+ came"), ("Dr. Anna Schmidt", r"Dr\. \w+ \w+"),
+    ("Frau Prof. Dr. Schmidt", r"Frau Prof\. Dr\. \w+"), ("555.123.4567.", r"\d{3}\.\d{3}\.\d{4}\."),
+    ("3782 822463 10005", r"3\d{3} \d{6} \d{5}"), ("NO93 8601 1117 947", r"NO\d\d \d{4} \d{4} \d{3}"),
+    ("at 2a02:8109::1f, 2A02:8109:0:0:0:0:0:1F and fe80::7", r"at (2001:db8:[0-9a-f:]+), \1 and 2001:db8:[0-9a-f:]+"),
+])
+def test_whole_entities_are_found(spark, text, shape):
+    out = replaced(spark, text)[0]
+    assert re.fullmatch(shape, out), out
+    old = set(re.findall(r"jo\.7|\bjo\b|mail3|Anna|Maria|Schmidt|4567|822463|8601|8109|fe80", text))
+    assert not [x for x in old if x in out]
+
+
+def test_what_is_no_address_stays(spark):
+    texts = ["std::vector a::b ::1 12:34:56", "x" + "._-" * 5000 + "a.b" * 5000, "1.2.3 and 555.123.45678"]
+    assert replaced(spark, *texts) == texts
+
+
+def test_family_name_is_the_last(spark):
+    a, b = replaced(spark, "Mrs. Anna Maria Schmidt", "Mr. Schmidt")
+    assert a.split()[-1] == b.split()[-1]

@@ -1,7 +1,7 @@
 """Surrogates for personal data, in DataFrame functions alone.
 
 Entities are found by one pattern: mail and network addresses, phone, card, social security and bank
-numbers, keys and passwords, and names after a title. Each is replaced by a surrogate of its kind
+numbers, keys and passwords, and up to four names after one or more titles. Each is replaced by a surrogate of its kind
 and format that a keyed digest of the entity decides, so that the same entity has the same surrogate
 in all documents, however it is written (case, separators), and nobody without the key can tell
 which entity it stands for. A name keeps its title, script and case, and the given name its gender
@@ -16,7 +16,7 @@ be sent around.
 
 Formats: a card number keeps length, first digit and whether its check digit is right; a phone
 number its country code and punctuation; public addresses become reserved ones (240.0.0.0/4),
-private ones stay in 10.0.0.0/8; social security numbers get the unassigned 9xx; mail addresses get
+private ones stay in 10.0.0.0/8, those of version 6 become 2001:db8::/32; social security numbers get the unassigned 9xx; mail addresses get
 domains below `.example.`; keys keep their alphabet by character and known prefixes.
 
 Nulls: a null text stays null. Rows come out one for one with all their columns, repeated or null ids
@@ -37,20 +37,27 @@ MOST_ROUNDS = 50
 _WORD = r"\p{L}\p{N}"
 _MALE = "Mr|Herrn?|Señor|Sr|Monsieur|Signor|господин|г-н|κύριος|κ"
 _FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Mademoiselle|Mlle|Signora|госпожа|г-жа|κυρία|κα"
+_NEUTRAL = "Dr|Prof|Professor|Professorin|Doctor|Doktor"
+_TITLE = rf"(?:(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? )+"
 _NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}\p{L}+)?"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: (kind, where it is found, what tells it from other found texts), most special first.
 PATTERNS = [
-    ("mail", rf"(?<![{_WORD}._%+\-])[{_WORD}][{_WORD}._%+\-]*+@(?:[{_WORD}\-]+\.)+\p{{L}}{{2,24}}", r"@"),
+    ("mail", rf"(?<![{_WORD}._%+\-])[._%+\-]*+[{_WORD}][{_WORD}._%+\-]*+@(?:[{_WORD}\-]+\.)+\p{{L}}{{2,24}}", r"@"),
     ("address", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)", r"^(?:\d{1,3}\.){3}\d{1,3}$"),
+    ("address6", rf"(?<![{_WORD}:])(?:(?:{_HEX}:){{7}}{_HEX}"
+                 rf"|(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f]{{3,4}}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![{_WORD}]|:[0-9A-Fa-f])",
+     r"^[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]+$"),
     ("security", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", r"^\d{3}-\d{2}-\d{4}$"),
     ("secret", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
      r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,64})$"),
-    ("card", r"(?<![\d+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)", r"^(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})$"),
+    ("card", r"(?<![\d+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
+     r"^(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})$"),
     ("phone", rf"(?<![{_WORD}])\+1[ .-]?\(?\d{{3}}\)?[ .-]?\d{{3}}[ .-]?\d{{4}}(?!\d)"
-              rf"|(?<![{_WORD}+])\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\d-])\d{{3}}-\d{{3}}-\d{{4}}(?![\d-])"
-              rf"|(?<![{_WORD}])\+(?!1[ .(-])\d{{1,3}}(?:[ .-]\(?\d{{2,4}}\)?){{2,4}}(?!\d)", r"^[+(]|^\d{3}-\d{3}-\d{4}$"),
-    ("bank", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9])+$"),
-    ("name", rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? {_NAME}(?: {_NAME})?", rf"^(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}"),
+              rf"|(?<![{_WORD}+])\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\d-])\d{{3}}-\d{{3}}-\d{{4}}(?![\d-])|(?<![\d.])\d{{3}}\.\d{{3}}\.\d{{4}}(?!\d|\.\d)"
+              rf"|(?<![{_WORD}])\+(?!1[ .(-])\d{{1,3}}(?:[ .-]\(?\d{{2,4}}\)?){{2,4}}(?!\d)", r"^[+(]|^\d{3}([.-])\d{3}\1\d{4}$"),
+    ("bank", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?| ?\d{4} ?\d{4} ?\d{3})(?![A-Za-z0-9])", r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9])+$"),
+    ("name", rf"(?<!\p{{L}}){_TITLE}{_NAME}(?: {_NAME}){{0,3}}", rf"^{_TITLE}\p{{Lu}}"),
     ("secret", r"(?:(?<=[=:\"'])|(?<=[=:] ))(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key) ?[=:] ?[\"']?)"
                r"[A-Za-z0-9_+/\-]{6,}", r"."),
 ]
@@ -143,6 +150,24 @@ def _address(norm: Column, hexes: Column) -> Column:
     return _octets(hexes, F.when(private, F.lit(10)).otherwise(240 + F.pmod(_number(hexes, 1, 4), F.lit(15)).cast("int")))
 
 
+def _address6(hexes: Column) -> Column:
+    """In the range for documentation, 2001:db8::/32."""
+    return F.concat_ws(":", F.lit("2001"), F.lit("db8"), *[F.substring(hexes, 5 + 4 * i, 4) for i in range(6)])
+
+
+def _groups(address: Column) -> Column:
+    """The eight groups of an IPv6 address, written out."""
+    def own(text: Column) -> Column:
+        return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+
+    def full(halves: Column) -> Column:
+        left, right = own(F.get(halves, F.lit(0))), own(F.get(halves, F.lit(1)))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
+        return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), ":")
+
+    return _let(F.split(F.lower(address), "::"), full)
+
+
 def _phone(norm: Column, hexes: Column) -> Column:
     lead = lambda at: _pick("23456789", _number(hexes, at, 4))
 
@@ -194,6 +219,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         shaped = v["shaped"]
         rest = lambda n: F.substring(shaped, F.lit(n), F.length(norm))
         return F.when(kind == "mail", _mail(norm, hexes)).when(kind == "address", _address(norm, hexes)).when(
+            kind == "address6", _address6(hexes)).when(
             kind == "security", _text("9", rest(2))).when(
             kind == "card", _card(norm, hexes)).when(kind == "phone", _phone(norm, hexes)).when(
             kind == "bank", F.concat(F.substring(norm, 1, 2), rest(3))).when(
@@ -216,23 +242,38 @@ def _kind(found: Column) -> Column:
 
 
 def _given(found: Column) -> Column:
-    """Gender of the title."""
-    return F.when(found.rlike(rf"^(?:{_FEMALE})\.? "), "female").otherwise("male")
+    """Gender of the titles; none for a degree alone."""
+    titles = F.regexp_extract(found, f"^{_TITLE}", 0)
+    told = lambda names: titles.rlike(rf"(?:^| )(?:{names})\.? ")
+    return F.when(told(_FEMALE), "female").when(told(_MALE), "male").otherwise("given")
+
+
+def _names(found: Column) -> Column:
+    """The name words after the titles, the family name last."""
+    return F.split(F.regexp_replace(found, f"^{_TITLE}", ""), " ")
+
+
+def _lead(found: Column) -> Column:
+    """Signs before a mail address that are no part of it."""
+    return F.regexp_extract(found, r"^[._%+\-]*", 0)
 
 
 def entity_parts(found: Column) -> Column:
-    """[(kind, normal form)] of a found text; two for a title with two names."""
+    """[(kind, normal form)] of a found text; one for each name after a title."""
     part = lambda k, n: F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), n.alias("norm"))
 
     def parts(v: Column) -> Column:
         kind, text, words = v["kind"], v["text"], v["words"]
-        family = part("family", F.lower(F.element_at(words, -1)))
-        names = F.when(F.size(words) > 2, F.array(part(_given(text), F.lower(F.get(words, F.size(words) - 2))), family)).otherwise(F.array(family))
+        names = F.transform(words, lambda w, i: part(
+            F.when(i == F.size(words) - 1, "family").otherwise(v["given"]), F.lower(w)))
         norm = F.when(kind.isin("card", "phone", "security"), F.regexp_replace(text, r"[^0-9]", "")).when(
-            kind == "mail", F.lower(text)).when(kind == "bank", F.replace(text, F.lit(" "), F.lit(""))).otherwise(text)
+            kind == "mail", F.lower(F.regexp_replace(text, r"^[._%+\-]+", ""))).when(
+            kind == "address6", _groups(text)).when(
+            kind == "bank", F.replace(text, F.lit(" "), F.lit(""))).otherwise(text)
         return F.when(kind == "name", names).otherwise(F.array(part(kind, norm)))
 
-    return _let(F.struct(_kind(found).alias("kind"), found.alias("text"), F.split(found, " ").alias("words")), parts)
+    return _let(F.struct(_kind(found).alias("kind"), found.alias("text"), _names(found).alias("words"),
+                         _given(found).alias("given")), parts)
 
 
 def _as_found(shown: Column, made: Column, wanted: str) -> Column:
@@ -261,16 +302,14 @@ def rendered(found: Column, attempts: Column | None, key: str) -> Column:
 
     def shown(v: Column) -> Column:
         kind, text, words, out = v["kind"], v["text"], v["words"], v["out"]
-        one, last = F.element_at(out, 1), F.element_at(words, -1)
-        name = F.when(F.size(out) == 2, F.concat_ws(
-            " ", F.element_at(words, 1), _cased(F.get(words, F.size(words) - 2), one), _cased(last, F.get(out, F.lit(1))))
-        ).otherwise(F.concat_ws(" ", F.element_at(words, 1), _cased(last, one)))
+        one = F.element_at(out, 1)
+        name = F.concat(F.regexp_extract(text, f"^{_TITLE}", 0), F.array_join(F.zip_with(words, out, _cased), " "))
         return F.when(kind == "name", name).when(
             kind.isin("card", "phone", "security"), _as_found(text, one, "^[0-9]$")).when(
             kind == "bank", _as_found(text, one, "^[^ ]$")).when(
-            (kind == "mail") & (text == F.upper(text)), F.upper(one)).otherwise(one)
+            kind == "mail", F.concat(_lead(text), F.when(text == F.upper(text), F.upper(one)).otherwise(one))).otherwise(one)
 
-    return _let(F.struct(_kind(found).alias("kind"), found.alias("text"), F.split(found, " ").alias("words"),
+    return _let(F.struct(_kind(found).alias("kind"), found.alias("text"), _names(found).alias("words"),
                          F.transform(entity_parts(found), made).alias("out")), shown)
 
 
