@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 
@@ -29,7 +28,3 @@ def rows():
         data = [r.asDict(recursive=True) for r in df.collect()]
         return sorted(data, key=lambda r: tuple(str(r[c]) for c in order)) if order else data
     return collect
-
-
-def day(text):
-    return dt.date.fromisoformat(text)

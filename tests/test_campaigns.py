@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import day
+from helpers import day
 
 from pyspark.sql import functions as F
 

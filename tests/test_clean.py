@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import day
+from helpers import day
 
 from tidemark.sources import sales, sinks
 from tidemark.schemas import INVENTORY

@@ -2,7 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import day
+from helpers import day
 from pyspark.sql import functions as F
 
 from tidemark.functions.stock import rounded_metrics

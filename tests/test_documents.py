@@ -1,6 +1,6 @@
 import json
 
-from conftest import day
+from helpers import day
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality as Q

@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import day
+from helpers import day
 from pyspark.sql import functions as F
 
 from tidemark.schemas import EVENTS

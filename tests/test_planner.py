@@ -1,5 +1,5 @@
 import pytest
-from conftest import day
+from helpers import day
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as X

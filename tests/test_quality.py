@@ -1,5 +1,5 @@
 
-from conftest import day
+from helpers import day
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
