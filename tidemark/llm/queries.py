@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    byte_bpe, html_text, kd_sharding, language_id, packing, partenum, quality_rules, staging, surrogates, toxicity,
+    byte_bpe, html_text, kd_sharding, language_id, packing, partenum, quality_rules, staging, surrogates, token_counts, toxicity,
     vector_graph,
 )
 
@@ -17,6 +17,8 @@ from tidemark.llm import (
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 #: Vocabulary of the packed sequences.
 WORD_BPE = "word_bpe_49k.json"
+#: Vocabulary of the token counts.
+PIECE_BPE = "piece_bpe_32k.model"
 SHARDS = 24
 #: Key of the registered queries; a deployment passes a secret of its own.
 SURROGATE_KEY = "tidemark"
@@ -136,3 +138,8 @@ SELECT v.vec_id, CAST((SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS BIG
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = staging.table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.replace(documents, SURROGATE_KEY)
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(staging.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
