@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    byte_bpe, filter_audit, html_text, kd_sharding, language_id, packing, partenum, quality_rules, staging, surrogates, token_counts, toxicity,
+    byte_bpe, collocations, filter_audit, html_text, kd_sharding, language_id, packing, partenum, quality_rules, staging, surrogates, token_counts, toxicity,
     vector_graph,
 )
 
@@ -145,6 +145,44 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(staging.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(staging.table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g
+  FROM words, (SELECT unnest([1, 2, 3]) AS k) lengths),
+counts AS (SELECT lang, g, max(k) AS k, count(*) AS f FROM grams GROUP BY lang, g),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, g, k, f AS a FROM counts WHERE k >= 2 AND f >= 10),
+inside AS (
+  SELECT lang, part, max(a) AS longer FROM (
+    SELECT lang, a, unnest([g[1:2], g[2:3]]) AS part FROM candidates WHERE k = 3) GROUP BY lang, part),
+kept AS (
+  SELECT c.lang, c.g, c.k, c.a FROM candidates c LEFT JOIN inside i ON i.lang = c.lang AND i.part = c.g
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * c.a),
+cuts AS (SELECT lang, g, a, unnest(range(1, k)) AS at FROM kept),
+scored AS (
+  SELECT c.lang, c.g, c.a, c.at, x.f AS l, y.f AS r,
+    ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.g = c.g[1:c.at]
+  JOIN counts y ON y.lang = c.lang AND y.g = c.g[c.at + 1:]),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, at) = 1),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM least)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = filter_audit.failures(staging.table(spark, sf_dir, "documents"))
