@@ -169,13 +169,13 @@ inside AS (
 kept AS (
   SELECT c.lang, c.g, c.k, c.a FROM candidates c LEFT JOIN inside i ON i.lang = c.lang AND i.part = c.g
   WHERE i.longer IS NULL OR 100 * i.longer < 50 * c.a),
-cuts AS (SELECT lang, g, a, unnest(range(1, k)) AS at FROM kept),
+cuts AS (SELECT lang, g, a, unnest(range(1, k)) AS cut FROM kept),
 scored AS (
-  SELECT c.lang, c.g, c.a, c.at, x.f AS l, y.f AS r,
+  SELECT c.lang, c.g, c.a, c.cut, x.f AS l, y.f AS r,
     ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
-  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.g = c.g[1:c.at]
-  JOIN counts y ON y.lang = c.lang AND y.g = c.g[c.at + 1:]),
-least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, at) = 1),
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.g = c.g[1:c.cut]
+  JOIN counts y ON y.lang = c.lang AND y.g = c.g[c.cut + 1:]),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
 ranked AS (
   SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score,
     row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM least)
