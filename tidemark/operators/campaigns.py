@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
-from tidemark.functions.exact import MONEY_SCALE, exact_mean, units
+from tidemark.functions.exact import MONEY_SCALE, exact_mean, units, whole_sum
 from tidemark.functions.scalars import as_col, clip
 
 _CONFIG = pa.schema([
@@ -96,7 +96,7 @@ def holiday_dates(daily: DataFrame, config: DataFrame) -> DataFrame:
 def _days(rows: Column, name: str) -> list[Column]:
     """Number of days, of days with an amount, and the exact total of the rows that hold."""
     own = F.when(rows, units("y"))
-    return [F.count_if(rows).alias(f"{name}_days"), F.count(own).alias(f"{name}_n"), F.sum(own).alias(f"{name}_sum")]
+    return [F.count_if(rows).alias(f"{name}_days"), F.count(own).alias(f"{name}_n"), whole_sum(own).alias(f"{name}_sum")]
 
 
 def _less(whole: str, part: str) -> tuple[Column, Column]:
