@@ -80,6 +80,73 @@ def velocity(hourly: DataFrame) -> DataFrame:
     )
 
 
+def _closing_hours(events: DataFrame) -> DataFrame:
+    """Orders per hour with the hour's closing time, which carries the watermark on."""
+    counted = on_time(purchases(events)).groupBy(F.window("ts", HOUR)).agg(F.count(F.lit(1)).alias("orders"))
+    return counted.select(
+        F.window_time("window").alias("closing"), _ntz("window.start").alias("hour_start"),
+        _ntz("window.end").alias("hour_end"), "orders",
+    )
+
+
+def velocity_stream(events: DataFrame, earlier: DataFrame) -> DataFrame:
+    """``velocity`` while the stream runs: each hour joins the hour before it, both as streams.
+
+    ``earlier`` is a second reading of the same stream. Both sides carry a watermark and the
+    join bounds the time between them, so that the state holds the hours that are still open or
+    wait for their neighbour, and no more. An hour whose neighbour had no orders is given without
+    a change once the watermark rules that neighbour out.
+    """
+    now = _closing_hours(events)
+    before = _closing_hours(earlier).select(
+        F.col("closing").alias("closing_before"), F.col("hour_end").alias("end_before"),
+        F.col("orders").alias("orders_before"),
+    )
+    next_to = (
+        (F.col("hour_start") == F.col("end_before"))
+        & (F.col("closing_before") >= F.col("closing") - F.expr(f"interval {HOUR}"))
+        & (F.col("closing_before") <= F.col("closing") - F.expr(f"interval {HOUR}"))
+    )
+    change = (F.col("orders") - F.col("orders_before")) / F.col("orders_before") * F.lit(100.0)
+    return now.join(before, next_to, "leftOuter").select(
+        "hour_start", "orders", (F.col("orders") / F.lit(60.0)).alias("orders_per_min"), change.alias("delta_pct"),
+    )
+
+
+# Panes of users.
+PANE = "5 minutes"
+SKETCH_BITS = 12
+#: One standard error of an estimate, as a part of the number: 1.04 / sqrt(2 ** SKETCH_BITS).
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def user_panes(events: DataFrame, width: str = PANE) -> DataFrame:
+    """A mergeable sketch of the users of each pane of time; on a stream, of the finished panes.
+
+    Users are merged to sketches before the shuffle, so a hot pane sends a few kilobytes a task.
+    """
+    return (
+        on_time(events).where("user_id is not null")
+        .groupBy(F.window("ts", width))
+        .agg(F.hll_sketch_agg("user_id", SKETCH_BITS).alias("sketch"))
+        .select(_ntz("window.start").alias("pane_start"), _ntz("window.end").alias("pane_end"), "sketch")
+    )
+
+
+def merge_panes(panes: DataFrame, *scope: Column) -> DataFrame:
+    """Users per scope (any expressions over panes; none for all panes), from stored sketches alone."""
+    return panes.groupBy(*scope).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("users"))
+
+
+def pane_windows(panes: DataFrame, width_panes: int = 2) -> DataFrame:
+    """Users per sliding window of so many panes that begins at every pane."""
+    width = F.col("pane_end") - F.col("pane_start")
+    starts = F.explode(F.array(*[F.col("pane_start") - width * k for k in range(width_panes)]))
+    placed = panes.select(starts.alias("window_start"), (width * width_panes).alias("length"), "sketch")
+    merged = merge_panes(placed, F.col("window_start"), F.col("length"))
+    return merged.select("window_start", (F.col("window_start") + F.col("length")).alias("window_end"), "users")
+
+
 def online_users(events: DataFrame, width: str = "10 minutes", slide: str = "5 minutes",
                  error: float = 0.05) -> DataFrame:
     """Approximate number of active users per sliding window."""
