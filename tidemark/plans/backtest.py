@@ -29,8 +29,9 @@ def backtest(weekly: DataFrame, test_year, keys: tuple[str, ...] = (),
     test = between_days(weekly, *year_range(year, year))
     if method == "closed_form":
         forecast = seasonal_trend_forecast(train, keys, WEEKS_AHEAD, 7, weekday=False)
-    elif method == "additive":
-        forecast = additive_forecast(train, keys, WEEKS_AHEAD, 7, weekly=False)
+    elif method in ("additive", "sparse"):
+        trend = "sparse" if method == "sparse" else "ridge"
+        forecast = additive_forecast(train, keys, WEEKS_AHEAD, 7, weekly=False, trend=trend)
     else:
         raise ValueError(f"unknown method {method}")
     ahead = between_days(forecast, *year_range(year, year))

@@ -321,6 +321,21 @@ PARTS = {
           sku, COUNT(*) AS orders FROM sold GROUP BY 1, 2, 3) s
       LEFT JOIN inventory i USING (sku)""",
     "closed_etas": "SELECT * FROM etas WHERE hour_end <= (SELECT MAX(ts) FROM sold) - INTERVAL 10 MINUTE",
+    "moves": """
+      SELECT sku, ts, 1 AS kind, event_id, 1 AS qty FROM sold
+      UNION ALL
+      SELECT CAST(p_partkey AS VARCHAR), lo + to_days(CAST(k * (p_size % 7 + 3) AS INTEGER)), 0, -1, p_size
+      FROM part, generate_series(0, 9999) AS g(k), (SELECT date_trunc('day', MIN(ts)) AS lo, MAX(ts) AS hi FROM events)
+      WHERE CAST(p_partkey AS VARCHAR) IN (SELECT sku FROM sold) AND lo + to_days(CAST(k * (p_size % 7 + 3) AS INTEGER)) <= hi""",
+    "lots": """
+      SELECT *, SUM(1 - kind) OVER (PARTITION BY sku ORDER BY ts, kind, event_id ROWS UNBOUNDED PRECEDING) AS lot
+      FROM moves""",
+    "ledger": """
+      SELECT sku, ts, event_id, kind, date_trunc('hour', ts) + INTERVAL 1 HOUR AS hour_end, CASE WHEN lot > 0 THEN
+          SUM(CASE WHEN kind = 0 THEN qty ELSE -1 END) OVER (PARTITION BY sku, lot ORDER BY ts, kind, event_id ROWS UNBOUNDED PRECEDING)
+        END AS remaining
+      FROM lots""",
+    "closed_ledger": "SELECT * FROM ledger WHERE hour_end <= (SELECT MAX(ts) FROM moves) - INTERVAL 10 MINUTE",
     "watch": """
       SELECT hour_start, sku, eta_oos_mins,
         CASE WHEN eta_oos_mins < 20 THEN 1 WHEN pct_of_target < 80 THEN 2 ELSE 3 END AS rule
@@ -418,6 +433,42 @@ ORACLES: dict[str, str] = {
     "forecast_weekly_check": twin("""
       SELECT COUNT(*) + 52 AS n_rows, MIN(ds) AS first_ds, CAST(MAX(ds) + 52 * 7 AS DATE) AS last_ds, 52 AS n_future,
         TRUE AS bounds_hold, TRUE AS beats_mean, TRUE AS covers FROM weekly"""),
+    "forecast_sparse_check": twin("""
+      SELECT category, COUNT(DISTINCT order_date) + 90 AS n_rows, MIN(order_date) AS first_ds,
+        CAST(MAX(order_date) + 90 AS DATE) AS last_ds, 90 AS n_future,
+        TRUE AS bounds_hold, TRUE AS beats_mean, TRUE AS covers FROM days GROUP BY category"""),
+    "rolling_accuracy": twin(f"""
+      SELECT origin, horizon, COUNT(*) AS n_series, {mean('ABS(actual - yhat)')} AS mae,
+        SQRT(CAST(SUM({whole('actual - yhat', 2)} * {whole('actual - yhat', 2)}) AS DOUBLE) / COUNT(*)) / 100 AS rmse,
+        {mean('CASE WHEN actual <> 0 THEN ABS((actual - yhat) / actual) END', 9)} * 100 AS mape
+      FROM (
+        SELECT f.origin, h.horizon, w.y AS actual, (f.level + f.slope * CAST(w.ds - f.lo AS DOUBLE) + COALESCE(e.effect, 0)) / 100 AS yhat
+        FROM fits f CROSS JOIN (VALUES (1), (4), (13), (26), (52)) AS h(horizon)
+        JOIN category_weeks w ON w.category = f.category AND w.ds = f.origin + 7 * h.horizon
+        LEFT JOIN month_fits e ON e.category = f.category AND e.origin = f.origin AND e.month = month(w.ds))
+      GROUP BY origin, horizon""",
+        category_days=f"SELECT category, order_date AS ds, {money('sales')} AS y FROM sales GROUP BY 1, 2",
+        category_weeks=f"""
+          SELECT w.category, w.ds, COALESCE(v.y, 0) AS y FROM (
+            SELECT category, CAST(unnest(generate_series(MIN(d), MAX(d), INTERVAL 7 DAY)) AS DATE) AS ds
+            FROM (SELECT category, date_trunc('week', ds) + INTERVAL 6 DAY AS d FROM category_days) GROUP BY category) w
+          LEFT JOIN (SELECT category, CAST(date_trunc('week', ds) + INTERVAL 6 DAY AS DATE) AS ds, {money('y')} AS y
+            FROM category_days GROUP BY ALL) v USING (category, ds)""",
+        history=f"""
+          SELECT o.category, o.ds AS origin, h.ds, MIN(h.ds) OVER (PARTITION BY o.category, o.ds) AS lo, {whole('h.y', 2)} AS u
+          FROM category_weeks o JOIN category_weeks h ON h.category = o.category AND h.ds <= o.ds""",
+        fitted="""
+          SELECT category, origin, lo, CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(ds - lo) AS DOUBLE) AS st,
+            CAST(SUM((ds - lo) * (ds - lo)) AS DOUBLE) AS stt, CAST(SUM(u) AS DOUBLE) AS su, CAST(SUM(u * (ds - lo)) AS DOUBLE) AS stu
+          FROM history GROUP BY ALL HAVING COUNT(*) >= 104""",
+        slopes="SELECT *, COALESCE((n * stu - st * su) / NULLIF(n * stt - st * st, 0), 0) AS slope FROM fitted",
+        fits="SELECT *, (su - slope * st) / n AS level FROM slopes",
+        month_sums="""
+          SELECT category, origin, month(ds) AS month, CAST(COUNT(*) AS DOUBLE) AS nm, CAST(SUM(ds - lo) AS DOUBLE) AS stm,
+            CAST(SUM(u) AS DOUBLE) AS sum FROM history GROUP BY ALL""",
+        month_fits="""
+          SELECT category, origin, month, (sum - level * nm - slope * stm) / nm AS effect
+          FROM month_sums JOIN fits USING (category, origin)"""),
     "refresh_report": """
       SELECT * FROM (VALUES ('generate_inventory', 'success'), ('build_dashboard', 'success'),
         ('generate_inventory_json', 'success'), ('check_empty_skus', 'success'), ('overall', 'success')) AS t(step, status)""",
@@ -623,6 +674,27 @@ ORACLES: dict[str, str] = {
       SELECT h.hour_start, h.orders, h.orders / CAST(60 AS DOUBLE) AS orders_per_min,
         (h.orders - p.orders) / CAST(p.orders AS DOUBLE) * 100 AS delta_pct
       FROM hours h LEFT JOIN hours p ON p.hour_end = h.hour_start"""),
+    "live_velocity_stream": twin("""
+      SELECT h.hour_start, h.orders, h.orders / CAST(60 AS DOUBLE) AS orders_per_min,
+        (h.orders - p.orders) / CAST(p.orders AS DOUBLE) * 100 AS delta_pct
+      FROM hours h LEFT JOIN hours p ON p.hour_end = h.hour_start"""),
+    "live_running_stock": twin(
+        "SELECT sku, ts, event_id, CAST(remaining AS BIGINT) AS remaining FROM closed_ledger WHERE kind = 1"),
+    "live_stock_hours": twin("""
+      SELECT sku, hour_end, CAST(arg_max(remaining, (ts, kind, event_id)) AS BIGINT) AS remaining,
+        COUNT(*) FILTER (kind = 1) AS orders,
+        60 * CAST(GREATEST(arg_max(remaining, (ts, kind, event_id)), 0) AS DOUBLE) / COUNT(*) FILTER (kind = 1) AS eta_oos_mins
+      FROM closed_ledger GROUP BY sku, hour_end HAVING COUNT(*) FILTER (kind = 1) > 0"""),
+    "live_users_panes": """
+      WITH panes AS (
+        SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) AS pane FROM events
+        WHERE time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE),
+      scopes AS (
+        SELECT 'window' AS scope, pane - to_minutes(5 * b) AS start, user_id FROM panes, (VALUES (0), (1)) AS t(b)
+        UNION ALL SELECT 'day', date_trunc('day', pane), user_id FROM panes
+        UNION ALL SELECT 'all', NULL, user_id FROM panes)
+      SELECT scope, COUNT(*) AS n_scopes, CAST(SUM(users) AS BIGINT) AS users, TRUE AS all_near
+      FROM (SELECT scope, start, COUNT(DISTINCT user_id) AS users FROM scopes GROUP BY ALL) GROUP BY scope""",
     "users_exact": """
       SELECT s AS window_start, s + INTERVAL 10 MINUTE AS window_end, COUNT(DISTINCT user_id) AS users FROM (
         SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(5 * b) AS s

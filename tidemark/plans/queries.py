@@ -10,7 +10,7 @@ from tidemark import fixed_values as fv
 from tidemark.functions.exact import exact_mean, exact_sum
 from tidemark.functions.scalars import cover_label, display_name
 from tidemark.operators import accuracy, callouts, campaigns, demand, forecast, inventory
-from tidemark.operators import planner, quality, ranking, series
+from tidemark.operators import planner, quality, ranking, rolling, series
 from tidemark.plans import backtest as bt
 from tidemark.plans.dashboard import (
     Inputs, campaign_products_table, campaigns_table, published_lifts,
@@ -18,7 +18,7 @@ from tidemark.plans.dashboard import (
 from tidemark.plans.refresh import refresh
 from tidemark.session import configure, materialise, work_folder
 from tidemark.sources import documents, sales, sinks, star, tables
-from tidemark.streaming import live, runner
+from tidemark.streaming import ledger, live, runner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -31,6 +31,7 @@ NARROW_KEYWORDS = {
 }
 # The list query looks further ahead than the alert, which this data hardly ever raises.
 CRITICAL_LIST_MINUTES = 1440
+ROLLING_HORIZONS = (1, 4, 13, 26, 52)
 FILTER_KEYWORDS = ["promo", "Std+", "199", "dar."]
 
 
@@ -216,6 +217,19 @@ def forecast_weekly_check(x):
     return fit_checks(forecast.additive_forecast(weekly, horizon=52, step_days=7, weekly=False), weekly)
 
 
+@query
+def forecast_sparse(x):
+    """Weekly sales with a trend of few changes and an interval of sampled futures."""
+    return forecast.additive_forecast(series.weekly_sales(x.daily), horizon=52, step_days=7, weekly=False, trend="sparse")
+
+
+@query
+def forecast_sparse_check(x):
+    daily = materialise(series.daily_sales(x.days, ("category",)), "category-days")
+    found = forecast.additive_forecast(daily, ("category",), 90, trend="sparse")
+    return fit_checks(found, daily, "category")
+
+
 # Backtest
 
 def backtest_inputs(x: Inputs, method: str = "closed_form"):
@@ -256,6 +270,19 @@ def forecast_accuracy_additive(x):
     return accuracy.forecast_accuracy(backtest_inputs(x, "additive")[0])
 
 
+@query
+def forecast_accuracy_sparse(x):
+    return accuracy.forecast_accuracy(backtest_inputs(x, "sparse")[0])
+
+
+@query
+def rolling_accuracy(x):
+    """Accuracy of every week as an origin, one to 52 weeks ahead, over all categories."""
+    weekly = materialise(series.weekly_sales(series.daily_sales(x.days, ("category",)), ("category",)), "category-weeks")
+    ahead = rolling.rolling_forecasts(rolling.origins(weekly, ("category",)), ROLLING_HORIZONS)
+    return rolling.rolling_accuracy(ahead, weekly, ("category",))
+
+
 @query
 def accuracy_report(x):
     merged, _, year = backtest_inputs(x)
@@ -642,6 +669,46 @@ def live_velocity(x):
     return live.velocity(hourly(x))
 
 
+@query
+def live_velocity_stream(x):
+    """The same rows, joined while the stream runs."""
+    return runner.run_to_table(live.velocity_stream(x.event_stream, x.event_stream), "velocity")
+
+
+def deliveries(x: Inputs) -> DataFrame:
+    """What each sold SKU is supplied with: lots of the part's size, every three to nine days."""
+    sold = live.purchases(x.events).select(F.col("sku").try_cast("bigint").alias("p_partkey")).distinct()
+    span = x.events.agg(F.struct(F.date_trunc("day", F.min("ts")).alias("lo"), F.max("ts").alias("hi"))).scalar()
+    parts = star.table(x.spark, x.path, "part").join(sold, "p_partkey", "left_semi").withColumn("span", span)
+    days = F.make_dt_interval(F.col("p_size") % 7 + 3)
+    return parts.select(
+        F.col("p_partkey").cast("string").alias("sku"),
+        F.explode(F.sequence("span.lo", "span.hi", days)).alias("ts"),
+        F.col("p_size").cast("bigint").alias("qty"),
+    )
+
+
+def stock_ledger(x: Inputs) -> DataFrame:
+    came, path = deliveries(x), work_folder(x.spark, "deliveries")
+    came.write.parquet(path)
+    arriving = x.spark.readStream.schema(came.schema).parquet(path)
+    return runner.run_to_table(ledger.running_stock(ledger.moves(x.event_stream, arriving)), "ledger")
+
+
+@query
+def live_running_stock(x):
+    """The stock that each purchase leaves, in finished hours."""
+    booked = stock_ledger(x).where("event_id is not null")
+    return booked.select("sku", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "remaining")
+
+
+@query
+def live_stock_hours(x):
+    """Stock, orders and minutes to out-of-stock at the end of each hour with purchases."""
+    closed = stock_ledger(x).where("orders is not null")
+    return closed.select("sku", F.col("ts").cast("timestamp_ntz").alias("hour_end"), "remaining", "orders", "eta_oos_mins")
+
+
 @query
 def live_users(x):
     return runner.run_to_table(live.online_users(x.event_stream), "users")
@@ -649,13 +716,38 @@ def live_users(x):
 
 @query
 def live_users_check(x):
-    """Do the estimates of finished windows lie within five standard errors of the exact numbers?"""
+    """Do the estimates of finished windows lie within three standard errors of the exact numbers?"""
     estimated = runner.run_to_table(live.online_users(x.event_stream), "users").withColumnRenamed("users", "estimate")
     both = estimated.join(live.online_users_exact(x.events), ["window_start", "window_end"])
-    near = F.abs(F.col("estimate") - F.col("users")) <= 1 + 0.25 * F.col("users")
+    near = F.abs(F.col("estimate") - F.col("users")) <= 1 + 3 * 0.05 * F.col("users")
     return both.agg(F.count(F.lit(1)).alias("n_windows"), F.bool_and(near).alias("all_near"))
 
 
+@query
+def live_users_panes(x):
+    """Are the users of windows, days and all time, merged from stored panes, within three standard errors?"""
+    panes = runner.run_to_table(live.user_panes(x.event_stream), "panes")
+    last = panes.agg(F.max("pane_end")).scalar()
+    seen = x.events.withColumn("last", last).where(F.col("ts").cast("timestamp_ntz") < F.col("last"))
+
+    def scopes(estimate, exact, name, *on):
+        both = estimate.withColumnRenamed("users", "estimate").join(exact, list(on), "full")
+        return both.select(F.lit(name).alias("scope"), "estimate", "users")
+
+    def distinct(*on):
+        users = seen.select(*on, "user_id").distinct()
+        return users.groupBy(*users.columns[:-1]).agg(F.count("user_id").alias("users"))
+
+    day = F.to_date(F.col("ts").cast("timestamp_ntz")).alias("day")
+    every = panes.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate")).select(
+        F.lit("all").alias("scope"), "estimate", distinct().scalar().alias("users"))
+    both = scopes(live.pane_windows(panes), live.online_users_exact(seen), "window", "window_start", "window_end").unionByName(
+        scopes(live.merge_panes(panes, F.to_date("pane_start").alias("day")), distinct(day), "day", "day")).unionByName(every)
+    near = F.abs(F.col("estimate") - F.col("users")) <= 1 + 3 * live.SKETCH_ERROR * F.col("users")
+    return both.groupBy("scope").agg(
+        F.count(F.lit(1)).alias("n_scopes"), F.sum("users").alias("users"), F.bool_and(F.coalesce(near, F.lit(False))).alias("all_near"))
+
+
 @query
 def users_exact(x):
     return live.online_users_exact(x.events)
