@@ -13,15 +13,15 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_words_by_themselves_equal_whole_texts(library):
     rng = random.Random(3)
     alphabet = [*"abIÉéßΣİ'stmre19 \n\t  !?中Ⅷ", "　", " ", " ", " ", "\x85", "\x1c", "\x1f", "'ll", "é", "\U0001F600"]
+    alphabet += ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", "<|endoftext"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for _ in range(3000)] + ["", None]
+    texts += ["a <|endoftext|> b", "A<|startoftext|>B.", "<|EndOfText|>", "x <|endoftext|>. <|endoftext|>s"]
     found = packing.Coder(PATH).encode(texts)
     want = library.encode_batch([t or "" for t in texts], add_special_tokens=False)
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [e.ids for e in want]
@@ -69,24 +69,44 @@ def test_odd_rows(odd, nothing, library):
     assert packing.pack(packing.pieces(nothing, PATH)).count() == 0
 
 
-def test_the_search_gains_on_best_fit():
-    """Triples that fill bins exactly: best fit alone does not find them."""
-    rng = np.random.default_rng(4)
+def thirds(seed):
+    """Triples that fill bins exactly, all of about a third: best fit alone does not find them."""
+    rng = np.random.default_rng(seed)
     lengths = []
-    for _ in range(60):
-        a, b = sorted(rng.integers(1, packing.CAPACITY - 1, 2).tolist())
-        lengths += [x for x in (a, b - a, packing.CAPACITY - b) if x > 0]
+    for _ in range(40):
+        a, b = rng.integers(1100, 1900, 2).tolist()
+        lengths += [a, b, packing.CAPACITY - a - b]
+    return lengths
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_the_search_needs_fewer_bins_than_best_fit(seed):
+    lengths = thirds(seed)
     order = sorted(range(len(lengths)), key=lambda m: -lengths[m])
     plain = packing.best_fit(packing.Grouping([], []), order, lengths)
-    best = packing.evolve(lengths, 1, [])
-    assert best.cost() <= plain.cost()
-    again = packing.evolve(lengths, 2, [best.assignment(len(lengths))])
-    assert again.cost() <= best.cost()
-    for g in (best, again):
+    islands = [packing.evolve(lengths, s, []) for s in (1, 2)]
+    assert all(len(g.bins) < len(plain.bins) for g in islands)
+    before = min(g.cost() for g in islands)
+    for epoch in range(4):  # elites migrate
+        elites = [g.assignment(len(lengths)) for g in islands]
+        islands = [packing.evolve(lengths, 10 * epoch + s, [elites[s], elites[1 - s]]) for s in (0, 1)]
+    assert min(g.cost() for g in islands) < before
+    for g in islands:
         assert sorted(m for b in g.bins for m in b) == list(range(len(lengths)))
         assert all(sum(lengths[m] for m in b) == f <= packing.CAPACITY for b, f in zip(g.bins, g.fills, strict=True))
 
 
+def test_islands_on_spark_need_fewer_bins_than_best_fit(spark):
+    lengths = thirds(3)
+    rows = [(i, 0, 0, n, i) for i, n in enumerate(lengths)]
+    items = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    packed = packing.pack(items).collect()
+    order = sorted(range(len(lengths)), key=lambda m: -lengths[m])
+    plain = packing.best_fit(packing.Grouping([], []), order, lengths)
+    assert sorted(r["doc_id"] for r in packed) == list(range(len(lengths)))
+    assert len({r["sequence_id"] for r in packed}) < len(plain.bins)
+
+
 def test_crossover_keeps_every_item_once():
     rng = np.random.default_rng(9)
     lengths = rng.integers(1, 4000, 300).tolist()
@@ -97,3 +117,14 @@ def test_crossover_keeps_every_item_once():
         c = packing.crossover(a, b, lengths, rng)
         assert sorted(m for x in c.bins for m in x) == list(range(300))
         assert any(frozenset(x) in full for x in c.bins)
+
+
+def test_equal_rows_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    rows = [(None, 0, 0, 1500, 7)] * 400
+    items = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint").repartition(4)
+    dealt = packing._dealt(packing._salted(items), 8, 0).groupBy("block").count().collect()
+    assert len(dealt) == 8 and max(r["count"] for r in dealt) < 100
+    packed = packing.pack(items).collect()
+    assert len(packed) == 400 and len({(r["sequence_id"], r["offset"]) for r in packed}) == 400
+    assert len({r["sequence_id"] for r in packed}) <= 204

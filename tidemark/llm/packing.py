@@ -37,7 +37,7 @@ CAPACITY = 4096
 END_ID = 1
 BLOCK = 4096
 ISLANDS = 2
-EPOCHS = 2
+EPOCHS = 3
 POPULATION = 6
 GENERATIONS = 12
 PATIENCE = 4
@@ -58,7 +58,6 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -81,16 +80,26 @@ class Coder:
 
     @staticmethod
     def _split(text: str) -> list[str]:
-        """Words; in small letters where that is sure to be the tokenizer's own folding."""
+        """Words; in small letters where that is sure to be the tokenizer's own folding.
+
+        A special token's string is that token, as the library has it, and only as it is spelt; a text
+        that may hold one is not folded.
+        """
         # Python also splits at the separators 0x1C-0x1F, which the vocabulary takes for symbols.
         words = _SPACES.findall if _SEPARATORS.search(text) else str.split
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
+        if "<|" in text or not _latin(text):
             return words(text)
         return words(text.lower())
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @lru_cache(2)
 def coder(path: str) -> Coder:
     return Coder(path)
@@ -227,7 +236,7 @@ def evolve(lengths: list[int], seed: int, elites: list[np.ndarray]) -> Grouping:
     return best
 
 
-_ITEM = "block bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+_ITEM = "block bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint"
 _BEST = "block bigint, island int, bins int, cost double, least boolean, assignment binary"
 
 
@@ -298,15 +307,20 @@ def _level(items: DataFrame, level: int) -> DataFrame:
     return staging.stage(items.groupBy("block").cogroup(best.groupBy("block")).applyInArrow(place, schema))
 
 
+def _salted(cut: DataFrame) -> DataFrame:
+    """The pieces, written with a number of their own, so that equal rows are dealt apart, and alike on a retry."""
+    return staging.stage(cut.select("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().alias("salt")))
+
+
 def _dealt(items: DataFrame, number: int, level: int) -> DataFrame:
-    own = F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(level))
+    own = F.xxhash64("doc_id", "piece", "start", "ids_crc32", "salt", F.lit(level))
     names = [x.split()[0] for x in _ITEM.split(", ")][1:]
     return items.select(F.pmod(own, F.lit(number)).cast("bigint").alias("block"), *names)
 
 
 def pack(cut: DataFrame) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
-    rest = staging.stage(cut)
+    rest = _salted(cut)
     number, level, parts = rest.count(), 0, []
     while number:
         blocks = -(-number // BLOCK)
@@ -319,7 +333,7 @@ def pack(cut: DataFrame) -> DataFrame:
         parts.append(placed.where(F.col("fill") >= int(FILLED * CAPACITY)))
         rest, number, level = loose, again, level + 1
     if not parts:
-        return rest.select(*rest.columns, F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+        return rest.drop("salt").select("*", F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
