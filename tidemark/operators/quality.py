@@ -1,10 +1,13 @@
 """Data-quality checks that return rows."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import trim_space
 from tidemark.schemas import TABLES
+from tidemark.session import materialise
 
 SAMPLE_ROWS = 10
 
@@ -68,3 +71,70 @@ def without_orphans(children: DataFrame, parents: DataFrame, child_key: str,
                     parent_key: str) -> DataFrame:
     keys = parents.select(F.col(parent_key).alias(child_key)).distinct()
     return children.join(keys, child_key, "left_semi")
+
+
+#: Parts of the hash domain that repeated keys are sought in; a part meets in one task as packed numbers.
+HASH_PARTS = 256
+#: Fingerprints that are held by a task before they are packed.
+HELD = 1 << 22
+#: Suspects, 8 bytes each, that may be sent to every task.
+MOST_SENT = 1_000_000
+
+
+def _packed(keys: DataFrame, parts: int) -> DataFrame:
+    """``(part, prints)``: the fingerprints that each task met in each part, as packed bytes.
+
+    A fingerprint that a task met twice is packed twice, so that it counts as repeated.
+    """
+    schema = "part int, prints binary"
+
+    def rows(batches):
+        held, size = [], 0
+
+        def packs():
+            values = np.sort(np.concatenate(held))
+            first = np.concatenate([[True], values[1:] != values[:-1]])
+            again = np.concatenate([[False], ~first[1:] & first[:-1]])  # the second of a run
+            values = values[first | again]
+            own = (values % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(own, kind="stable")
+            values, own = values[order], own[order]
+            edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
+            blobs = [values[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(own[edges[:-1]]), pa.array(blobs, pa.binary())], names=["part", "prints"])
+
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            size += batch.num_rows
+            if size >= HELD:
+                yield packs()
+                held, size = [], 0
+        if size:
+            yield packs()
+
+    return keys.mapInArrow(rows, schema)
+
+
+def _repeated_prints(packed: DataFrame) -> DataFrame:
+    """``(print)`` of the fingerprints that occur twice or more in a part."""
+    def repeats(key, table):
+        values = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in table["prints"].to_pylist()]))
+        return pa.table({"print": pa.array(np.unique(values[1:][values[1:] == values[:-1]]).view(np.int64))})
+
+    return packed.groupBy("part").applyInArrow(repeats, "print bigint")
+
+
+def repeated_keys(df: DataFrame, keys: list[str], parts: int = HASH_PARTS) -> DataFrame:
+    """The rows of ``duplicate_keys``, for tables whose keys are wide and nearly all unique.
+
+    The first pass moves no keys, only a packed 64-bit fingerprint each, a few rows a task. What has a
+    repeated fingerprint is counted exactly in a second pass, so that about the repeated keys are all that
+    is shuffled. A part of the fingerprints meets in one task: 8 bytes a key and ``parts`` tasks, so
+    ``parts`` should grow with the table. Null keys are equal to each other, as in a grouping.
+    """
+    own = F.xxhash64(*keys, *[F.col(k).isNull() for k in keys])
+    suspects = materialise(_repeated_prints(_packed(df.select(own.alias("print")), parts)), "suspects")
+    if suspects.count() <= MOST_SENT:
+        suspects = F.broadcast(suspects)
+    rows = df.select(*keys, own.alias("print")).join(suspects, "print", "left_semi")
+    return duplicate_keys(rows, keys)

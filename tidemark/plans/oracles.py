@@ -437,6 +437,27 @@ ORACLES: dict[str, str] = {
       SELECT category, COUNT(DISTINCT order_date) + 90 AS n_rows, MIN(order_date) AS first_ds,
         CAST(MAX(order_date) + 90 AS DATE) AS last_ds, 90 AS n_future,
         TRUE AS bounds_hold, TRUE AS beats_mean, TRUE AS covers FROM days GROUP BY category"""),
+    "interval_sales": twin(f"""
+      SELECT o_orderkey, COUNT(*) AS n_days, {total('y')} AS gmv
+      FROM orders JOIN daily ON ds BETWEEN CAST(o_orderdate AS DATE) AND CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 AS INTEGER)
+      GROUP BY o_orderkey"""),
+    "keyword_lists": """
+      SELECT CAST(l.p_partkey AS VARCHAR) AS list_id, COUNT(*) AS n_products, MIN(CAST(p.p_partkey AS VARCHAR)) AS first_sku
+      FROM part l JOIN part p ON contains(lower(p.p_name), lower(substr(l.p_name, 2, 6)))
+        OR contains(CAST(p.p_partkey AS VARCHAR), CAST(l.p_partkey AS VARCHAR) || '7') OR contains(lower(p.p_name), CAST(l.p_partkey AS VARCHAR) || '7')
+        OR contains(CAST(p.p_partkey AS VARCHAR), lower(substr(l.p_name, 2, 6)))
+      GROUP BY l.p_partkey""",
+    "incremental_sku_totals": twin(f"""
+      SELECT sku, {money('sales')} AS total_sales, COUNT(*) AS n_lines, MIN(order_date) AS first_day, MAX(order_date) AS last_day
+      FROM sales GROUP BY sku"""),
+    "incremental_daily": twin(f"SELECT order_date AS ds, {money('sales')} AS y FROM sales GROUP BY 1"),
+    "sku_ranks": f"""
+      SELECT sku, total_sales, ROW_NUMBER() OVER (ORDER BY total_sales DESC, sku) AS rank,
+        (ROW_NUMBER() OVER (ORDER BY total_sales DESC, sku) - 1) / CAST(GREATEST(COUNT(*) OVER () - 1, 1) AS DOUBLE) AS percentile
+      FROM (SELECT CAST(l_partkey AS VARCHAR) AS sku, {money('l_extendedprice')} AS total_sales
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)""",
+    "repeated_order_parts": """
+      SELECT l_orderkey, l_partkey, COUNT(*) AS n_rows FROM lineitem GROUP BY ALL HAVING COUNT(*) > 1""",
     "rolling_accuracy": twin(f"""
       SELECT origin, horizon, COUNT(*) AS n_series, {mean('ABS(actual - yhat)')} AS mae,
         SQRT(CAST(SUM({whole('actual - yhat', 2)} * {whole('actual - yhat', 2)}) AS DOUBLE) / COUNT(*)) / 100 AS rmse,

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.functions.exact import exact_mean, exact_sum
 from tidemark.functions.scalars import cover_label, display_name
-from tidemark.operators import accuracy, callouts, campaigns, demand, forecast, inventory
+from tidemark.operators import accuracy, callouts, campaigns, demand, forecast, global_rank, intervals, inventory, keywords
 from tidemark.operators import planner, quality, ranking, rolling, series
 from tidemark.plans import backtest as bt
+from tidemark.plans import incremental
 from tidemark.plans.dashboard import (
     Inputs, campaign_products_table, campaigns_table, published_lifts,
 )
@@ -947,3 +948,59 @@ def callout_fallback(x):
         F.when(F.col("conv_id") % 7 == 0, F.lit("1. short\n\n2) \"tiny\"")).otherwise(F.col("text")).alias("text"),
     )
     return callouts.callouts(products, "text")
+
+
+# Operators for tables and calendars of any size
+
+@query
+def interval_sales(x):
+    """Sales of the days in each of as many windows as there are orders."""
+    windows = star.table(x.spark, x.path, "orders").select(
+        "o_orderkey", F.to_date("o_orderdate").alias("window_start"),
+        F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 30).cast("int")).alias("window_end"))
+    met = intervals.points_in_windows(x.daily, windows)
+    return met.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_days"), exact_sum("y").alias("gmv"))
+
+
+@query
+def keyword_lists(x):
+    """A keyword list for each product: a part of its name, and its number with a seven behind it."""
+    parts = star.table(x.spark, x.path, "part")
+    lists = parts.select(
+        F.col("p_partkey").cast("string").alias("list_id"),
+        F.array(F.upper(F.substring("p_name", 2, 6)), F.concat(F.col("p_partkey").cast("string"), F.lit("7"))).alias("keywords"))
+    return keywords.match_lists(x.products, lists, ("name", "sku")).groupBy("list_id").agg(
+        F.count(F.lit(1)).alias("n_products"), F.min("sku").alias("first_sku"))
+
+
+def delivered(x: Inputs) -> str:
+    """All sales as three deliveries to a stored table: old years, then twice the new ones."""
+    path = work_folder(x.spark, "sku-days")
+    sold = star.dated_sales(x.spark, x.path)
+    old, even = F.year("order_date") < 1996, F.col("sku").cast("bigint") % 2 == 0
+    for number, part in enumerate([old, ~old & even, ~old & ~even], 1):
+        incremental.add_delivery(sold.where(part), number, path)
+    return path
+
+
+@query
+def incremental_sku_totals(x):
+    return incremental.sku_totals(x.spark, delivered(x))
+
+
+@query
+def incremental_daily(x):
+    return incremental.daily_totals(x.spark, delivered(x))
+
+
+@query
+def sku_ranks(x):
+    """Rank and percentile of every SKU by its sales."""
+    totals = star.sku_totals(x.spark, x.path).select("sku", "total_sales")
+    return global_rank.global_rank(totals, F.desc("total_sales"), F.asc("sku"))
+
+
+@query
+def repeated_order_parts(x):
+    """Pairs of order and part that occur on several lines, counted from repeated fingerprints alone."""
+    return quality.repeated_keys(star.table(x.spark, x.path, "lineitem"), ["l_orderkey", "l_partkey"])
