@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_live import T0, batch, event, stream, write
-from tidemark.streaming import ledger, live, runner
+from tidemark.streaming import lateness, ledger, live, runner
 
 MOVES = "sku string, ts timestamp, qty bigint"
 
@@ -128,3 +128,50 @@ def test_panes_merge_to_windows_days_and_all(spark, tmp_path):
     [[every]] = live.merge_panes(panes).collect()
     number = closed.select("user_id").distinct().count()
     assert every == pytest.approx(number, rel=3 * live.SKETCH_ERROR) and number > 10000
+
+
+def test_every_event_is_kept_a_copy_or_late(spark, tmp_path):
+    rng = random.Random(11)
+    events = [event(i, i, kind=rng.choice(["view", "purchase"])) for i in range(240)]
+    batches = [[] for _ in range(6)]
+    for i, e in enumerate(events):
+        own = i // 40
+        batches[own].append(e)
+        if i % 4 == 0:
+            batches[own].append(e)  # a copy at once
+        if i % 7 == 0 and own < 5:
+            batches[own + 1].append(e)  # late, or a copy if it is young enough
+        if i % 50 == 9 and own < 4:
+            batches[own + 2].append(event(1000 + i, i))  # too late, and new
+    batches[2] += [(None, T0 + dt.timedelta(minutes=119), 1, "view", 1.0, "{}")] * 2 + [(None, None, 1, "view", 1.0, "{}")]
+    for k, rows in enumerate(batches):
+        rng.shuffle(rows)
+        write(spark, tmp_path / "in", rows, f"events-{k}")
+    got, metrics = lateness.run_split(stream(spark, str(tmp_path / "in")), folder=str(tmp_path / "out"))
+
+    want, seen, high = [], set(), None
+    for rows in batches:
+        floor = None if high is None else high - dt.timedelta(minutes=10)
+        for e in rows:
+            if e[1] is None or (floor is not None and e[1] < floor):
+                want.append((e[0], "late"))
+            elif e[0] is not None and e[0] in seen:
+                want.append((e[0], "copy"))
+            else:
+                want.append((e[0], "kept"))
+                seen.add(e[0])
+        high = max([e[1] for e in rows if e[1] is not None] + ([high] if high else []))
+    found = [(r["event_id"], r["status"]) for r in got.collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    numbers = {s: sum(1 for _, x in want if x == s) for s in ("kept", "copy", "late")}
+    assert min(numbers.values()) > 10
+    assert {s: sum(m[s] for m in metrics) for s in numbers} == numbers
+    assert sum(m["rows"] for m in metrics) == sum(map(len, batches))
+    assert got.where("status = 'late'").inputFiles() and all(
+        "status=late" in f for f in spark.read.parquet(f"{tmp_path}/out/rows/status=late").inputFiles())
+
+    # Nothing new: nothing twice. A row that is late by the stored watermark stays late after a restart.
+    write(spark, tmp_path / "in", [event(5000, 1), event(5001, 238), event(238, 238)], "events-8")
+    again, metrics = lateness.run_split(stream(spark, str(tmp_path / "in")), folder=str(tmp_path / "out"))
+    new = sorted(((r["event_id"], r["status"]) for r in again.collect()), key=str)
+    assert new == sorted([*found, (5000, "late"), (5001, "kept"), (238, "copy")], key=str)

@@ -744,6 +744,20 @@ ORACLES: dict[str, str] = {
     "live_dedup": f"""
       SELECT event_type, COUNT(*) AS n_events, {money('value')} AS value, MAX(ts) AS last_ts FROM events
       WHERE ts <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1""",
+    "live_late_events": f"""
+      WITH due AS (SELECT *, CAST(FLOOR(event_id * 6 / ((SELECT MAX(event_id) FROM events) + 1)) AS INTEGER) AS own FROM events),
+      arrived AS (
+        SELECT *, CASE WHEN event_id % 50 = 7 THEN LEAST(own + 2, 5) ELSE own END AS file, 1 AS n FROM due
+        UNION ALL SELECT *, own, 2 FROM due WHERE event_id % 4 = 0
+        UNION ALL SELECT *, LEAST(own + 1, 5), 3 FROM due WHERE event_id % 7 = 0),
+      high AS (SELECT file, MAX(MAX(ts)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM arrived GROUP BY file),
+      judged AS (
+        SELECT a.*, COALESCE(ts < date_trunc('millisecond', top) - INTERVAL 10 MINUTE, FALSE) AS is_late
+        FROM arrived a JOIN high USING (file)),
+      told AS (
+        SELECT *, CASE WHEN is_late THEN 'late'
+          WHEN ROW_NUMBER() OVER (PARTITION BY event_id, is_late ORDER BY file, n) > 1 THEN 'copy' ELSE 'kept' END AS status FROM judged)
+      SELECT status, event_type, COUNT(*) AS n_events, {money('value')} AS value FROM told GROUP BY ALL""",
     "dedup_batch": f"""
       SELECT event_type, COUNT(*) AS n_events, {money('value')} AS value FROM events GROUP BY 1""",
     "live_document": twin("""

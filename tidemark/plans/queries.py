@@ -19,7 +19,7 @@ from tidemark.plans.dashboard import (
 from tidemark.plans.refresh import refresh
 from tidemark.session import configure, materialise, work_folder
 from tidemark.sources import documents, sales, sinks, star, tables
-from tidemark.streaming import ledger, live, runner
+from tidemark.streaming import lateness, ledger, live, runner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -824,6 +824,30 @@ def live_dedup(x):
     )
 
 
+def arrivals(x: Inputs) -> str:
+    """The events as six files that arrive one after the other: a quarter twice at once, a seventh again
+    with the next file, and every fiftieth only with the file after that."""
+    events = star.table(x.spark, x.path, "events")
+    folder, number = work_folder(x.spark, "arrivals"), F.col("event_id")
+    last = events.agg(F.max("event_id")).scalar()
+    due = F.floor(number * 6 / (last + 1)).cast("int")
+    again = F.array(
+        F.when(number % 50 == 7, F.least(due + 2, F.lit(5))).otherwise(due), F.when(number % 4 == 0, due),
+        F.when(number % 7 == 0, F.least(due + 1, F.lit(5))))
+    placed = materialise(events.withColumn("file", F.explode(F.array_compact(again))), "arrivals")
+    for k in range(6):
+        placed.where(F.col("file") == k).drop("file").coalesce(1).write.parquet(f"{folder}/events-{k}.parquet")
+    return folder
+
+
+@query
+def live_late_events(x):
+    """Rows kept, copies and late ones per type, each told by the watermark when it arrived."""
+    stream = star.event_stream(x.spark, f"{arrivals(x)}/*", files_per_trigger=1, glob=False)
+    told, _ = lateness.run_split(stream)
+    return told.groupBy("status", "event_type").agg(F.count(F.lit(1)).alias("n_events"), exact_sum("value").alias("value"))
+
+
 @query
 def dedup_batch(x):
     doubled = x.events.union(x.events.where(F.col("event_id") % 3 == 0))

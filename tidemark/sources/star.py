@@ -142,9 +142,11 @@ def events(spark: SparkSession, path: str) -> DataFrame:
     return _event_columns(table(spark, path, "events"))
 
 
-def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The events file (or a folder filling up with such files) as a stream."""
-    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet")
+def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, glob: bool = True) -> DataFrame:
+    """The events file (or a folder filling up with such files) as a stream; without ``glob`` all files there."""
+    reader = spark.readStream.schema(EVENTS)
+    if glob:
+        reader = reader.option("pathGlobFilter", "events*.parquet")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return _event_columns(reader.parquet(path))
