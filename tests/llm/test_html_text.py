@@ -85,3 +85,42 @@ def test_short_text_between_and_closing_sentences_stay():
     gap = "<div class=promo>x</div>" * 4
     assert main_text(f"<p>{LONG}</p>{gap}<p>Short between</p>{gap}<p>{LONG}</p>{gap}<p>It ends here.</p>") == \
         f"{LONG}\nShort between\n{LONG}\nIt ends here."
+
+
+def test_a_title_before_links_stays():
+    menu = "<ul>" + "<li><a href=/x>An item of a menu</a></li>" * 6 + "</ul>"
+    assert main_text(f"<h1>A title</h1>{menu}<p>{LONG}</p><p>{LONG}</p>") == f"A title\n{LONG}\n{LONG}"
+    # A page's name above the menu is none where the text has a heading of its own.
+    assert main_text(f"<h1>The site</h1>{menu}<h1>A title</h1><p>{LONG}</p>") == f"A title\n{LONG}"
+    assert main_text(f"<header><h1>The site</h1></header>{menu}<p>{LONG}</p>") == LONG
+
+
+def test_paragraphs_in_an_article_may_be_about_menus():
+    page = "<article><p>" + LONG + "</p><p class='menu'>Our lunch menu has soup.</p><h2 class=share>Shares</h2><p class=ad>Buy!</p></article>"
+    assert main_text(page) == f"{LONG}\nOur lunch menu has soup.\nShares"
+
+
+def test_unwanted_inline_elements_end_with_their_own_tags():
+    assert main_text(f"<p>{LONG} <span class=ad>buy <span>now</span> cheap</span> on.</p>") == f"{LONG} on."
+    assert main_text(f"<p>{LONG} <span class=ad>buy <b>now</b></p><p>{LONG}</p>") == f"{LONG}\n{LONG}"  # left open
+    assert main_text(f"<p>{LONG} <a class=share href=x>a<small class=ad>b</small>c</a> on.</p>") == f"{LONG} on."
+
+
+def test_many_open_elements_take_linear_time():
+    import time
+
+    times = []
+    for n in (2_000, 16_000):
+        start = time.perf_counter()
+        main_text(f"<div>{'<span class=ad>x' * n}</div><p>{LONG}</p>")
+        times.append(time.perf_counter() - start)
+    assert times[1] < 30 * max(times[0], 0.01)
+
+
+def test_windows_choose_in_an_article_too():
+    """The zone's edge is a dive; what is unwanted inside parts stretches and does not end the text."""
+    ad = "<div class=ad>Buy this.</div>" * 6
+    page = f"<p>By the way</p><article><h1>Head</h1><p>{LONG}</p>{ad}<p>End</p></article><p>See you</p>"
+    assert main_text(page) == f"Head\n{LONG}\nEnd"
+    found = [x for x in html_text.lines(page) if x[0]]
+    assert html_text.chosen(found).tolist() == [False, True, True, *[False] * 6, True, False]

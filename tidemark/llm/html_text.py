@@ -1,24 +1,26 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines: every block element and line break ends a line. Each line has a text
-length, which counts as 0 inside menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments (told by element, role, class or id) and for lines that are mostly links. Sums over
-sliding windows of LINES lines then show where text surges up and where it dives to nothing; the
-lines between are the main text. A stretch must reach LEAST_SURGE characters in some window and a
-fifth of the longest stretch, or lie between two that do, or come after them, in no article or main
-element, and end a sentence.
+Markup is stripped to lines: every block element and line break ends a line. A line weighs its text
+length, and 0 inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments
+(told by element, role, class or id) and where it is mostly links. Sums of weights over sliding windows
+of LINES lines show where text surges up and where it dives to nothing; the lines between are the main
+text. A stretch must reach LEAST_SURGE in some window and a fifth of the longest stretch.
 
-A class or id tells a menu, an advert and the like only as a whole: a known name, or a compound of
-known names and words of layout. Ids of headings, and of sections in an article, tell nothing.
+An article or main element that holds most of the page's text is its zone. A line in it weighs as much
+more as a stretch must reach, so that short paragraphs count, and the zone's edge is a dive, so that no
+stretch goes on across it. An element that holds less, a teaser card say, changes no weight. Without a
+zone, what lies between two kept stretches stays, and so do short lines after them that end a sentence;
+a first heading that only links part from the text goes with it.
 
-An article or main element that holds most of such text is the page's zone: every line in it is
-kept, however short, and stretches outside it must pass the windows. One that holds less, a teaser
-card say, decides nothing.
+A class or id tells a menu, an advert and the like only as a whole: a known name, or a compound of
+known names and words of layout. Ids of headings, and of sections in an article, tell nothing; of
+paragraphs and headings in an article only names of adverts do.
 
 Result: blocks in page order joined by a line feed, white space inside a block made one blank,
 character references decoded. Nulls: a null or empty page has empty text; page_id and url may be
 null. Tags cut short at the page's end, unclosed elements and stray end tags are taken as browsers
-do roughly. Rows come out one for one; other columns are not read.
+do roughly; an unwanted inline element ends with its own end tag or the block around it. Each page is
+read once, in time linear in its length. Rows come out one for one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -60,6 +62,9 @@ _NAMES = {
     "pager", "toolbar", "masthead", "topbar", "copyright", "disclaimer", "skip",
 }
 _HEADERS = {"header", "masthead"}
+#: Names that tell of a paragraph or heading in an article, too; others may be its subject.
+_ADVERTS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo",
+            "promotion", "cookie", "cookies", "consent", "gdpr", "newsletter", "subscribe"}
 #: What may stand beside such a name in one class or id that still means the same ("ad-slot", "related-posts").
 _BESIDE = {
     "slot", "box", "bar", "list", "item", "items", "area", "wrap", "wrapper", "container", "block", "unit", "panel",
@@ -92,34 +97,37 @@ def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
         if key in ("class", "id"):
             if key == "id" and (name in _TITLES or (name == "section" and in_article)):
                 continue  # made of the heading's words
+            names = _ADVERTS if in_article and (name == "p" or name in _TITLES) else _NAMES
             for token in value.split():
                 words = [w.lower() for w in _WORD.findall(token) if not w.isdigit()]
-                told = [w in _NAMES or (w in _HEADERS and not in_article) for w in words]
-                if "".join(words) in _NAMES or (any(told) and all(
+                told = [w in names or (w in _HEADERS and not in_article) for w in words]
+                if "".join(words) in names or (any(told) and all(
                         t or w in _BESIDE for t, w in zip(told, words, strict=True))):
                     return True
     return False
 
 
-def lines(page: str) -> Iterator[tuple[str, int, bool, int]]:
-    """(text, characters in links, unwanted, 2 in an article, 1 in main, else 0) of each line."""
+def lines(page: str) -> Iterator[tuple[str, int, bool, int, bool]]:
+    """(text, characters in links, unwanted, 2 in an article, 1 in main, else 0, heading h1) of each line."""
     stack: list[tuple[str, bool, int]] = []
     parts: list[str] = []
     linked = links = 0
     at, n = 0, len(page)
     unwanted, place = False, 0
+    # An unwanted inline element that is open: its name, open elements of that name, blocks around it.
+    skipped, depth, around = "", 0, 0
 
     def flush():
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
-        found = (text, linked, unwanted, place)
+        found = (text, linked, unwanted, place, any(x[0] == "h1" for x in stack[-3:]))
         parts, linked = [], 0
         return found
 
     while at < n:
         tag = _TAG.search(page, at)
         end = tag.start() if tag else n
-        if end > at:
+        if end > at and not skipped:
             text = html.unescape(page[at:end])
             parts.append(text)
             if links:
@@ -143,12 +151,14 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, int]]:
         if name == "a":
             links = 0 if closing else 1
         if name in _INLINE:
-            if name in ("span", "label", "small", "strong", "em", "a") and attributes and not closing \
+            whole = attributes.endswith("/")
+            if skipped:
+                if name == skipped and not whole:
+                    depth += -1 if closing else 1
+                    skipped = skipped if depth else ""
+            elif name in ("span", "label", "small", "strong", "em", "a") and attributes and not closing and not whole \
                     and _unwanted(name, attributes, place == 2):
-                close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                if close:
-                    at = close.end()
-                    links = 0 if name == "a" else links
+                skipped, depth, around = name, 1, len(stack)
             continue
         yield flush()
         if name in _VOID:
@@ -172,50 +182,68 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, int]]:
                 else 1 if name == "main" or place == 1 else 0))
             if attributes.endswith("/"):
                 stack.pop()
+        if skipped and len(stack) < around:
+            skipped = ""
         unwanted, place = stack[-1][1:] if stack else (False, 0)
     yield flush()
 
 
-def between(weights: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Stretches from surge to dive: where window sums rise from 0, and where they are 0 again."""
+def between(weights: np.ndarray, least: int, total: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Stretches from surge to dive: where window sums rise from 0, and where they are 0 again.
+
+    Those that reach `least` in a window and, of `total` (the weights if not given), a fifth of the most.
+    """
     if not len(weights):
         return []
+    total = weights if total is None else total
     sums = np.convolve(weights, np.ones(LINES, np.int64))[LINES - 1:]  # of LINES lines from each line on
     text = np.concatenate([[0], (sums > 0).astype(np.int8), [0]])
     surges, dives = np.flatnonzero(np.diff(text) > 0), np.flatnonzero(np.diff(text) < 0)
-    total = [int(weights[a:b].sum()) for a, b in zip(surges, dives, strict=True)]
-    share = max(total, default=0) / 5 if least > 1 else 0
-    return [(int(a), int(b)) for a, b, t in zip(surges, dives, total, strict=True)
-            if sums[a:b].max() >= least and t >= share]
+    own = [int(weights[a:b].sum()) for a, b in zip(surges, dives, strict=True)]
+    share = max((int(total[a:b].sum()) for a, b in zip(surges, dives, strict=True)), default=0) / 5 if least > 1 else 0
+    return [(int(a), int(b)) for a, b, t in zip(surges, dives, own, strict=True) if sums[a:b].max() >= least and t >= share]
+
+
+def chosen(found: list[tuple[str, int, bool, int, bool]]) -> np.ndarray:
+    """Which of a page's lines are main text."""
+    length = np.array([len(x[0]) for x in found])
+    places = np.array([x[3] for x in found])
+    wanted = ~np.array([x[2] for x in found])
+    links = np.array([linked > MOST_LINKED * len(text) for text, linked, *_ in found])
+    # In an article or main element links may be text.
+    text = np.where(wanted & (~links | (places > 0)), length, 0)
+    zone = next((z for z in (2, 1) if 2 * text[places >= z].sum() > text.sum()), 0)
+    keep = np.zeros(len(found), bool)
+    if zone:
+        inside = places >= zone
+        weights = text + np.where(inside & (text > 0), max(LEAST_SURGE, int(text.sum())), 0)
+        # Lines without text at the zone's edges part it from what is outside.
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        at = np.arange(len(found)) + LINES * np.searchsorted(edges, np.arange(len(found)), "right")
+        spread = np.zeros((2, at[-1] + 1), np.int64)
+        spread[0, at], spread[1, at] = weights, text
+        for a, b in between(spread[0], LEAST_SURGE, spread[1]):
+            keep[(at >= a) & (at < b)] = True
+        return keep & (text > 0)
+    text[links] = 0
+    kept = between(text, LEAST_SURGE) or between(text, 1)
+    if not kept:
+        return keep
+    first, last = kept[0][0], kept[-1][1]
+    keep[first:last] = True
+    for i in range(last, len(found)):
+        keep[i] |= bool(text[i] and not places[i] and _ENDED.search(found[i][0]))
+    # A heading that only links part from the text it heads.
+    before = [i for i in range(first) if text[i]]
+    if before and found[before[-1]][4] and not any(x[4] for x, k, t in zip(found, keep, text, strict=True) if k and t):
+        keep[before[-1]] = True
+    return keep & (text > 0)
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     found = [x for x in lines(page or "") if x[0]]
-    if not found:
-        return ""
-    # Links do not count as text outside an article or main element.
-    weights = np.array([
-        0 if unwanted or (linked > MOST_LINKED * len(text) and not place) else len(text)
-        for text, linked, unwanted, place in found], np.int64)
-    places = np.array([x[3] for x in found])
-    zone = next((z for z in (2, 1) if 2 * weights[places >= z].sum() > weights.sum()), 0)
-    if not zone:
-        weights[[linked > MOST_LINKED * len(text) for text, linked, _, _ in found]] = 0
-        kept = between(weights, LEAST_SURGE) or between(weights, 1)
-        chosen = np.zeros(len(found), bool)
-        if kept:  # short stretches between, and closing sentences
-            last = kept[-1][1]
-            after = [i for i in range(last, len(found)) if weights[i] and not places[i] and _ENDED.search(found[i][0])]
-            kept = [(kept[0][0], last), *((i, i + 1) for i in after)]
-    else:
-        outside = np.where(places >= zone, 0, weights)
-        longest = int(weights[places >= zone].sum())
-        kept = [(a, b) for a, b in between(outside, LEAST_SURGE) if 5 * outside[a:b].sum() >= longest]
-        chosen = places >= zone
-    for a, b in kept:
-        chosen[a:b] = True
-    return "\n".join(x[0] for x, c, w in zip(found, chosen, weights, strict=True) if c and w)
+    return "\n".join(x[0] for x, k in zip(found, chosen(found), strict=True) if k) if found else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
