@@ -69,3 +69,54 @@ def test_words_share_beginnings_without_case():
     assert len(buckets) == 4
     assert buckets[0][1] == buckets[1][1] and buckets[0][0] != buckets[1][0]
     assert (buckets[2] == buckets[3]).all()
+
+
+def test_samples_of_any_number_of_rows():
+    assert staging.below(1.0) == staging.PLACES - 1
+    for number in (10**4, 10**10, 10**13, 10**18):  # a share is never rounded to nothing
+        assert 0.9 < staging.below(6000 / number) / staging.PLACES * number / 6000 < 1.1
+    assert staging.quotas({"a": 10**12, "b": 50, "c": 10**6}, 6000) == {"a": 2975, "b": 50, "c": 2975}
+    assert staging.quotas({"a": 3, "b": 2}, 6000) == {"a": 3, "b": 2} and staging.quotas({}, 10) == {}
+
+
+def test_the_sample_of_languages_is_bounded_and_even(spark):
+    rows = spark.range(30000).select(
+        F.when(F.col("id") < 10000, None).when(F.col("id") < 20000, 77).otherwise(F.col("id")).alias("doc_id"),  # null ids, one id
+        F.when(F.col("id") % 300 == 0, "rare").otherwise("common").alias("lang"),
+        F.when(F.col("id").between(10000, 19999), "one text").otherwise(F.concat(F.lit("text "), "id")).alias("text")).repartition(5)
+    taken = language_id.sample(rows, 600).collect()
+    by = {c: sum(r["lang"] == c for r in taken) for c in ("rare", "common")}
+    assert len(taken) <= 750 and by["rare"] >= 60 and 300 < by["common"] < 700
+    nulls = sum(r["doc_id"] is None for r in taken if r["lang"] == "common")
+    assert 100 < nulls < 0.75 * by["common"]
+    assert sum(r["doc_id"] == 77 for r in taken) <= 2  # a row that repeats is taken once
+
+
+def test_the_sample_of_marks_is_bounded(spark):
+    marks = spark.range(40000).select(
+        F.when(F.col("id") < 10000, None).when(F.col("id") < 20000, 5).otherwise(F.col("id")).alias("doc_id"),
+        (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    taken, share = toxicity.sample(marks, 1000)
+    rows = taken.collect()
+    assert 500 < len(rows) <= 1250 and len(set(rows)) == len(rows) and all(r["doc_id"] is not None for r in rows)
+    assert 0 < share[0] < share[1] <= 1
+
+
+def test_one_id_with_many_texts_stays_within_the_bound(spark, monkeypatch):
+    docs = spark.range(3000).select(
+        F.when(F.col("id") < 2000, 5).otherwise(F.col("id")).alias("doc_id"), F.lit("en").alias("lang"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("vile "), "id", F.lit(" words"))).otherwise(F.lit("kind words")).alias("text"))
+    marks = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).distinct()
+    kept = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: kept.append(len(texts)) or train(texts, labels))
+    assert toxicity.fit(docs, marks, 200) is not None and kept[0] <= 250
+
+
+def test_long_texts_are_learned_from_all_over():
+    import numpy as np  # noqa: PLC0415
+
+    short, long = toxicity.spread(np.array([0, 900, 100_900]))
+    assert short == [slice(0, 900)]
+    assert len(long) == toxicity.WINDOWS and long[0].start == 900 and long[-1].stop == 100_900
+    assert all(p.stop - p.start == toxicity.WINDOW_WORDS for p in long)

@@ -5,9 +5,10 @@ space, bytes from 0x80 as they are). Filters of several widths slide over window
 the highest answer of each filter over a window is kept, and a softmax layer maps these to languages.
 A text's probabilities are the mean over all its windows, weighted by their bytes.
 
-Training: numpy, Adam, on windows of a bounded sample of labelled rows. SAMPLE_ROWS documents at
-most (by a hash of the id), up to WINDOWS_PER_ROW windows of each. The result does not depend on
-how rows are spread over files: the sample is chosen by id and sorted before training.
+Training: numpy, Adam, on windows of a bounded sample of labelled rows. About SAMPLE_ROWS documents
+(SPARE times as many at most), as many of each language as there are (by a hash of id and text), up to
+WINDOWS_PER_ROW windows of each. The result does not depend on how rows are spread over files: the
+sample is chosen by content and sorted before training.
 
 Nulls and oddities: a null text or one without a letter is `und` with score 0; without any labelled
 row all texts are `und`. Rows are kept one for one, repeated or null ids too. Other columns are not
@@ -31,6 +32,10 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 SAMPLE_ROWS = 6000
+#: A sample holds so many times the rows asked for at most.
+SPARE = 1.25
+#: Languages that are learned, the most frequent ones.
+MOST_LANGUAGES = 1000
 WINDOWS_PER_ROW = 4
 EPOCHS = 4
 UNKNOWN = "und"
@@ -176,14 +181,24 @@ def train(symbols: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
     return net
 
 
-def sample_windows(labelled: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, lang, place, window) of at most about `rows` documents; ids decide which.
+def sample(labelled: DataFrame, rows: int) -> DataFrame:
+    """About `rows` of the labelled rows (doc_id, lang, text), and SPARE times as many at most.
 
-    The number of rows wanted over the number there are is the share of ids taken.
+    Each language gives as equal a number as it can; of more than MOST_LANGUAGES the most frequent are
+    learned. A hash of id and text decides, at full width, so that any number of rows has a sample,
+    and rows that repeat are taken once.
     """
-    there = labelled.count()
-    share = min(1.0, rows / max(there, 1))
-    taken = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    there = {r["lang"]: r["count"] for r in counts}
+    bounds = [(c, staging.below(q / there[c])) for c, q in staging.quotas(there, rows).items() if q]
+    known = labelled.sparkSession.createDataFrame(bounds, "lang string, bound bigint")
+    placed = labelled.withColumn("at", staging.place("doc_id", "text")).join(known, "lang").where("at <= bound")
+    return placed.dropDuplicates(["lang", "at"]).orderBy("at", "lang").limit(int(SPARE * rows)).select("doc_id", "lang", "text")
+
+
+def sample_windows(labelled: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, lang, place, window): windows of a sample of the rows."""
+    taken = sample(labelled, rows)
     schema = staging.fields(doc_id="bigint", lang="string", place="int", window="binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +222,7 @@ def sample_windows(labelled: DataFrame, rows: int) -> DataFrame:
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Network | None:
     """Train on rows (doc_id, lang, text) with a language; None if there are none.
 
-    What comes to the driver is at most rows * WINDOWS_PER_ROW * WINDOW bytes, 6 MB by default.
+    What comes to the driver is at most SPARE * rows * WINDOWS_PER_ROW * WINDOW bytes, 8 MB by default.
     """
     columns = staging.plain(labelled, {"doc_id": "bigint", "lang": "string", "text": "string"})
     found = sample_windows(columns.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), rows).toArrow()

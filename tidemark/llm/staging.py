@@ -6,6 +6,7 @@ and never a recomputation, and the size of a reread table is known to the optimi
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import zipfile
@@ -101,6 +102,29 @@ def annotated(documents: DataFrame, annotate: Callable[[pa.Array], Iterator[tupl
     return documents.mapInArrow(rows, schema)
 
 
+#: Places of rows for `sampled` lie below this.
+PLACES = 1 << 63
+
+
+def place(*columns: str) -> Column:
+    """A number below PLACES that the columns' values decide, with the full width of the hash."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit(PLACES - 1))
+
+
+def below(share: float) -> int:
+    """The bound on places that holds this share of them; above 0 for every share above 0."""
+    return PLACES - 1 if share >= 1 else math.ceil(share * PLACES)
+
+
+def quotas(there: dict[str, int], rows: int) -> dict[str, int]:
+    """How many of `rows` each group gives: as equal as the groups' own numbers allow."""
+    out, left = {}, rows
+    for i, (name, number) in enumerate(sorted(there.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(number, left // (len(there) - i))
+        left -= out[name]
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
