@@ -134,3 +134,21 @@ def test_what_is_no_address_stays(spark):
 def test_family_name_is_the_last(spark):
     a, b = replaced(spark, "Mrs. Anna Maria Schmidt", "Mr. Schmidt")
     assert a.split()[-1] == b.split()[-1]
+
+
+def test_names_of_a_document_are_replaced_wherever_they_stand(spark):
+    texts = [
+        "Mrs. Anna Schmidt wrote to Dr. Anna Schmidt. Later Schmidt said Anna would call Schmidts and Annabel.",
+        "Dr. Anna Schmidt is here. Mrs. Anna Weiss is not; Anna left, Schmidt's too.",
+        "Anna and Schmidt without a title.", "Dr. Anna Schmidt alone. Anna again: anna, ANNA.",
+    ]
+    rows = {r["doc_id"]: r["text"] for r in surrogates.replace(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "key").collect()}
+    one = re.fullmatch(r"Mrs\. (\w+) (\w+) wrote to Dr\. (\w+) (\w+)\. Later (\w+) said (\w+) would call Schmidts and Annabel\.", rows[0])
+    given, family = one.group(1), one.group(2)
+    assert one.groups() == (given, family, given, family, family, given) and {given, family}.isdisjoint({"Anna", "Schmidt"})
+    two = re.fullmatch(r"Dr\. (\w+) (\w+) is here\. Mrs\. (\w+) (\w+) is not; (\w+) left, (\w+)'s too\.", rows[1])
+    assert two.groups()[:3] == (given, family, given) and two.groups()[4:] == (given, family)  # as in the other document
+    assert rows[2] == texts[2]
+    three = re.fullmatch(r"Dr\. (\w+) (\w+) alone\. (\w+) again: anna, ANNA\.", rows[3])
+    assert three.group(1) == three.group(3) != "Anna" and three.group(2) == family

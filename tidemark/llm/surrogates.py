@@ -7,6 +7,11 @@ in all documents, however it is written (case, separators), and nobody without t
 which entity it stands for. A name keeps its title, script and case, and the given name its gender
 (the title's); given and family names are mapped apart, so that "Mr. X" and "Mr. Y X" still agree.
 
+Within a document a name that was found after a title is replaced wherever it stands again, with a
+title or without, as a whole word and spelt alike. A given name that has a gendered title somewhere in
+the document keeps that gender's surrogate after a degree ("Dr.") too. A name that never follows a title
+in its document is not found.
+
 Collision checks: all distinct entities of the corpus are gathered (combining before the shuffle),
 and a surrogate must not be the surrogate of another entity, nor occur as an entity itself.
 Whatever collides gets a further digest, in rounds, until nothing does. Documents need the outcome
@@ -313,6 +318,48 @@ def rendered(found: Column, attempts: Column | None, key: str) -> Column:
                          F.transform(entity_parts(found), made).alias("out")), shown)
 
 
+def told_names(found: Column | str, made: Column | str) -> Column:
+    """[(word, made)] of the names in found texts and what stands for them; those of gendered titles first."""
+    def pairs(f: Column, m: Column) -> Column:
+        own = F.zip_with(_names(f), _names(m), lambda w, s: F.struct(w.alias("word"), s.alias("made")))
+        return F.struct((_given(f) != "given").alias("told"), F.when(_kind(f) == "name", own).otherwise(F.array().cast(
+            "array<struct<word:string,made:string>>")).alias("pairs"))
+
+    def ordered(all_: Column) -> Column:
+        first = F.filter(all_, lambda p: p["told"])
+        return F.flatten(F.transform(F.concat(first, F.filter(all_, lambda p: ~p["told"])), lambda p: p["pairs"]))
+
+    return _let(F.zip_with(found, made, pairs), ordered)
+
+
+def _stands_for(word: Column, names: Column) -> Column:
+    return F.coalesce(F.get(F.filter(names, lambda n: n["word"] == word), F.lit(0))["made"], word)
+
+
+def _of_document(names: Column) -> Callable[[Column, Column], Column]:
+    """What stands for a found text: after a degree alone, names have what the document's other titles give."""
+    def one(found: Column, made: Column) -> Column:
+        degree = (_kind(found) == "name") & (_given(found) == "given")
+        words = F.transform(_names(found), lambda w: _stands_for(w, names))
+        return F.when(degree, F.concat(F.regexp_extract(found, f"^{_TITLE}", 0), F.array_join(words, " "))).otherwise(made)
+
+    return one
+
+
+def renamed(text: Column, names: Column) -> Column:
+    """A text with the names replaced where they stand as whole words."""
+    words = F.array_join(F.array_distinct(F.transform(names, lambda n: n["word"])), "|")  # letters, ' and - alone
+    pattern = _text(rf"(?<![{_WORD}'’-])(?:", words, rf")(?![{_WORD}])")
+
+    def woven(v: Column) -> Column:
+        hits = F.regexp_extract_all(v["text"], v["pattern"], F.lit(0))
+        made = F.transform(hits, lambda w: _stands_for(w, names))
+        return F.array_join(F.zip_with(F.split(v["text"], v["pattern"], -1), made, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+
+    return _let(F.struct(text.alias("text"), pattern.alias("pattern")), lambda v: F.when(
+        F.regexp_like(v["text"], v["pattern"]), woven(v)).otherwise(v["text"]))
+
+
 def matches(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
@@ -365,9 +412,15 @@ def replace(documents: DataFrame, key: str) -> DataFrame:
         attempts = F.coalesce("attempts", F.create_map().cast("map<string,int>"))
     out = out.withColumn("found", matches(F.col("text")))
     surrogates = F.transform("found", lambda m: rendered(m, attempts, key))
-    between = F.split("text", PATTERN, -1)
-    woven = F.zip_with(between, surrogates, lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
-    text = F.when(F.size("found") > 0, F.array_join(woven, "")).otherwise(F.col("text"))
+    out = out.withColumns({"made": surrogates, "between": F.split("text", PATTERN, -1)})
+    # Names that a document tells by titles, gendered ones first: (word, what stands for it).
+    out = out.withColumn("names", F.when(F.exists("found", lambda m: _kind(m) == "name"), told_names("found", "made")))
+    woven = F.zip_with("between", "made", lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
+    again = F.zip_with(
+        F.transform("between", lambda g: renamed(g, F.col("names"))), F.zip_with("found", "made", _of_document(F.col("names"))),
+        lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
+    joined = F.array_join(F.when(F.col("names").isNull(), woven).otherwise(again), "")
+    text = F.when(F.size("found") > 0, joined).otherwise(F.col("text"))
     kinds = F.coalesce(F.array_sort(F.array_distinct(F.transform("found", _kind))), F.array().cast("array<string>"))
     return out.select(*[(text.alias(c) if c == "text" else F.col(c)) for c in kept],
                       F.greatest(F.size("found"), F.lit(0)).alias("n_entities"), kinds.alias("kinds"))
