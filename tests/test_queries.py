@@ -31,6 +31,7 @@ def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) - set(ORACLES) == {
         "forecast_additive", "forecast_by_category", "forecast_weekly", "forecast_accuracy_additive", "live_users",
+        "forecast_sparse", "forecast_accuracy_sparse",
     }
 
 

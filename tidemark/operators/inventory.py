@@ -91,9 +91,15 @@ def bulk_lookup(inventory: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
+#: SKUs of one request at most.
+MOST_KEYS = 10_000
+
+
 def as_lookup_map(rows: DataFrame) -> DataFrame:
-    """A bulk answer as one map by SKU; for key lists that fit one request."""
+    """A bulk answer as one map by SKU. More than ``MOST_KEYS`` rows are no request and raise an error;
+    no task gathers more than one above that."""
     fields = [c for c in rows.columns if c != "sku"]
-    return rows.agg(
-        F.map_from_entries(F.collect_list(F.struct("sku", F.struct(*fields)))).alias("inventory")
-    )
+    gathered = rows.limit(MOST_KEYS + 1).agg(F.collect_list(F.struct("sku", F.struct(*fields))).alias("entries"))
+    too_many = F.raise_error(F.lit(f"more than {MOST_KEYS} SKUs in one request"))
+    entries = F.when(F.size("entries") > MOST_KEYS, too_many).otherwise(F.map_from_entries("entries"))
+    return gathered.select(entries.alias("inventory"))

@@ -785,11 +785,12 @@ def live_critical(x):
 @query
 def critical_list(x):
     """The SKUs about to sell out, per hour and most urgent first, exported as lines and read back."""
-    listed = live.critical(sku_etas(x), CRITICAL_LIST_MINUTES).select("hour_start", "sku", "eta_oos_mins").withColumn(
-        "position", F.row_number().over(W.partitionBy("hour_start").orderBy("eta_oos_mins", "sku"))
-    )
+    urgent = live.critical(sku_etas(x), CRITICAL_LIST_MINUTES).select("hour_start", "sku", "eta_oos_mins")
+    ranked = global_rank.global_rank(urgent, F.asc("hour_start"), F.asc("eta_oos_mins"), F.asc("sku"), percentile=None)
+    first = ranked.groupBy("hour_start").agg(F.min("rank").alias("first"))
+    listed = ranked.join(first, "hour_start").withColumn("position", (F.col("rank") - F.col("first") + 1).cast("int"))
     path = work_folder(x.spark, "critical")
-    listed = materialise(listed, "critical-list")
+    listed = materialise(listed.drop("rank", "first"), "critical-list")
     sinks.export_critical_skus(listed.orderBy("hour_start", "position"), path)
     exported = x.spark.read.text(path).groupBy(F.col("value").alias("sku")).agg(F.count(F.lit(1)).alias("n_hours"))
     return listed.join(exported, "sku").select(
