@@ -185,14 +185,14 @@ def sample(labelled: DataFrame, rows: int) -> DataFrame:
     """About `rows` of the labelled rows (doc_id, lang, text), and SPARE times as many at most.
 
     Each language gives as equal a number as it can; of more than MOST_LANGUAGES the most frequent are
-    learned. A hash of id and text decides, at full width, so that any number of rows has a sample,
+    learned (so many rows are broadcast). A hash of id and text decides, at full width, so that any number of rows has a sample,
     and rows that repeat are taken once.
     """
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     there = {r["lang"]: r["count"] for r in counts}
     bounds = [(c, staging.below(q / there[c])) for c, q in staging.quotas(there, rows).items() if q]
     known = labelled.sparkSession.createDataFrame(bounds, "lang string, bound bigint")
-    placed = labelled.withColumn("at", staging.place("doc_id", "text")).join(known, "lang").where("at <= bound")
+    placed = labelled.withColumn("at", staging.place("doc_id", "text")).join(F.broadcast(known), "lang").where("at <= bound")
     return placed.dropDuplicates(["lang", "at"]).orderBy("at", "lang").limit(int(SPARE * rows)).select("doc_id", "lang", "text")
 
 
