@@ -124,3 +124,64 @@ def test_many_copies_write_few_signatures(spark):
     signed = partenum._sign(frame, 3, 90)
     assert signed.where("size(home) > 0").count() <= 3
     assert {r["component_id"] for r in partenum.link(frame).select("component_id").distinct().collect()} == {0}
+
+
+def test_forest_joins_what_edges_join():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        number = int(rng.integers(2, 60))
+        a, b = rng.integers(0, number, (2, int(rng.integers(0, 200))))
+
+        def roots(edges, a=a, b=b, number=number):
+            root = list(range(number))
+            for e in edges:
+                x, y = root[a[e]], root[b[e]]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+            return root
+
+        chosen = partenum.forest(a, b, number).tolist()
+        assert roots(chosen) == roots(range(len(a)))
+        assert len(chosen) == number - len(set(roots(chosen)))
+
+
+def test_rounds_where_listed_pairs_fail(spark, monkeypatch):
+    """Sketches that let every pair pass: most fail, and nothing is lost."""
+    real = partenum.Sets.sketch
+    monkeypatch.setattr(partenum.Sets, "sketch", lambda self, b, band: (*real(self, b, band)[:2], np.zeros(len(band), np.int64)))
+    monkeypatch.setattr(partenum, "FIRST_SHARE", 1)
+    shares = []
+    between = partenum._between
+    monkeypatch.setattr(partenum, "_between", lambda groups, share: shares.append(share) or between(groups, share))
+    for seed, block in ((5, 512), (6, 8)):
+        monkeypatch.setattr(partenum, "BLOCK", block)
+        rows = corpus(seed)
+        _, component = brute(rows, 3, 90)
+        found = partenum.link(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == component
+    assert shares.count(partenum.FIRST_SHARE) == 2 and max(shares) > partenum.FIRST_SHARE
+
+
+def test_a_dense_group_lists_fewer_pairs_than_classes(spark, monkeypatch):
+    """700 texts that differ in a word or two: nearly all pairs are similar."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(700):
+        own = list(base)
+        for _ in range(3):
+            own[rng.randrange(200)] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(own)))
+    listed = []
+    between = partenum._between
+
+    def counted(groups, share):
+        found = between(groups, share).cache()
+        listed.append((groups.where("other is null").count(), found.count()))
+        return found
+
+    monkeypatch.setattr(partenum, "_between", counted)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    _, component = brute(rows, 5, 80)
+    found = partenum.link(frame, 5, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == component
+    assert all(pairs <= (1 + partenum.FIRST_SHARE) * members for members, pairs in listed[:1])

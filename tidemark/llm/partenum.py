@@ -17,6 +17,8 @@ without losing a pair:
 4. Groups that still hold several components are searched for further pairs, between components
    only: sketches of a finer partition are compared, a byte a part, and pairs are verified if as many
    bytes agree as must. Large groups are split into blocks, so that a task holds two blocks at most.
+   Two blocks list no more pairs than would join their components; only those of which a pair fails
+   come again, without it, and list more (`_rest`).
 
 Verification is exact on 64-bit hashes of n-grams. Equal sets (64-bit hash of the set) are one
 class throughout, and copies met by one task write their signatures once; pairs are never expanded
@@ -56,6 +58,8 @@ SMALL = 3
 #: Parts of a sketch for each difference allowed.
 FINE = 4
 BLOCK = 512
+#: Pairs a class that two blocks list at first, beside those that join components.
+FIRST_SHARE = 4
 MOST_SIZE = 1 << 40
 
 
@@ -287,40 +291,71 @@ def _fetch(documents: DataFrame, wanted: DataFrame, size: int, percent: int) ->
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar, as pairs of document ids."""
-    schema = staging.fields(a="bigint", b="bigint")
+    """(a, b, id_a, id_b, similar): the pairs (a, b) of classes with their documents' ids, compared."""
+    schema = staging.fields(a="bigint", b="bigint", id_a="bigint", id_b="bigint", similar="boolean")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep[i] = 100 * common >= percent * (len(both) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)),
-                                              batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keep)], names=schema.names)
 
     left = sets.select(F.col("class_id").alias("a"), F.col("doc_id").alias("id_a"), F.col("grams").alias("grams_a"))
     right = sets.select(F.col("class_id").alias("b"), F.col("doc_id").alias("id_b"), F.col("grams").alias("grams_b"))
     joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("id_a", "id_b", "grams_a", "grams_b").mapInArrow(rows, schema)
-
-
-def _between(groups: DataFrame) -> DataFrame:
-    """Pairs of classes of different components in a group, with enough equal sketch bytes.
-
-    groups: sig, u, v (blocks), block, class_id, part (component), bytes, shared. Read in order of
-    (sig, u, v), so that only one group of two blocks is held at a time.
+    return joined.select("a", "b", "id_a", "id_b", "grams_a", "grams_b").mapInArrow(rows, schema)
+
+
+def _links(compared: DataFrame) -> DataFrame:
+    """The similar pairs, as pairs (a, b) of document ids."""
+    return compared.where("similar").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+def forest(a: np.ndarray, b: np.ndarray, number: int) -> np.ndarray:
+    """Places of edges (a, b) over nodes 0 to number - 1 that join all that the edges join, no more."""
+    root, chosen = np.arange(number), []
+    while True:
+        x, y = root[a], root[b]
+        across = np.flatnonzero(x != y)
+        if not len(across):
+            return np.array(sorted(chosen), np.int64)
+        _, first = np.unique(np.concatenate([x[across], y[across]]), return_index=True)  # an edge of each root
+        for e in np.unique(across[first % len(across)]).tolist():
+            u, v = int(x[e]), int(y[e])
+            while root[u] != u:
+                u = int(root[u])
+            while root[v] != v:
+                v = int(root[v])
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                chosen.append(e)
+        while (up := root[root]).tolist() != root.tolist():
+            root = up
+
+
+def _between(groups: DataFrame, share: int) -> DataFrame:
+    """(sig, u, v, a, b, whole): pairs of classes of different components, with enough equal sketch bytes.
+
+    groups: sig, u, v (blocks), block, class_id, part (component), bytes, shared, and as further rows
+    the pairs (class_id, other) that are known not to be similar. Read in order of (sig, u, v), so that
+    only one group of two blocks is held at a time. As many pairs are listed as join what can be joined,
+    fewer than there are classes, and up to `share` others a class; `whole` if these are all there are.
     """
-    schema = staging.fields(a="bigint", b="bigint")
+    schema = staging.fields(sig="bigint", u="int", v="int", a="bigint", b="bigint", whole="boolean")
+    names = ["sig", "u", "v", "block", "class_id", "part", "shared", "other", "bytes"]
 
-    def pairs(block: np.ndarray, ids: np.ndarray, part: np.ndarray, least: np.ndarray, short: list, u: int, v: int):
+    def pairs(u: int, v: int, block: np.ndarray, ids: np.ndarray, part: np.ndarray, least: np.ndarray, short: list,
+              bad: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(ids) < 2:
+            return ids[:0], ids[:0], np.zeros(0, bool)
         grid = np.frombuffer(b"".join(short), np.uint8).reshape(len(ids), -1)
-        rows = np.flatnonzero(block == u)
-        columns = np.flatnonzero(block == v)
-        found_a, found_b = [], []
+        rows, columns = np.flatnonzero(block == u), np.flatnonzero(block == v)
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         step = max(1, (1 << 22) // max(1, len(columns) * grid.shape[1]))
         for i in range(0, len(rows), step):
             mine = rows[i:i + step]
@@ -330,28 +365,38 @@ def _between(groups: DataFrame) -> DataFrame:
             if u == v:
                 ok &= ids[mine][:, None] < ids[columns][None, :]
             x, y = np.nonzero(ok)
-            found_a.append(ids[mine[x]])
-            found_b.append(ids[columns[y]])
-        return found_a, found_b
+            found_a.append(mine[x])
+            found_b.append(columns[y])
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        if len(bad[0]):
+            place = {c: i for i, c in enumerate(ids.tolist())}
+            missed = [place[x] * len(ids) + place[y] for x, y in zip(*(c.tolist() for c in bad), strict=True) if x in place and y in place]
+            open_ = ~np.isin(a * len(ids) + b, missed)
+            a, b = a[open_], b[open_]
+        roots, root = np.unique(part, return_inverse=True)
+        chosen = np.union1d(forest(root[a], root[b], len(roots)), np.arange(min(len(a), share * len(ids))))
+        return ids[a[chosen]], ids[b[chosen]], np.full(len(chosen), len(chosen) == len(a))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        names = ["sig", "u", "v", "block", "class_id", "part", "shared", "bytes"]
 
         def work(table: pa.Table, whole: bool):
             """Handle all groups but the last, which may go on in the next batch."""
-            sig, u, v, block, ids, part, least = (table[c].to_numpy() for c in names[:7])
+            member = ~np.asarray(table["other"].combine_chunks().is_valid())
+            sig, u, v, block, ids, part, least, other = (table[c].fill_null(0).to_numpy() for c in names[:8])
             edge = np.flatnonzero((sig[1:] != sig[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])) + 1
             edges = [0, *edge.tolist(), *([len(sig)] if whole else [])]
             short = table["bytes"].to_pylist()
-            a, b = [], []
+            plain = bool(member.all())
+            found = []
             for lo, hi in zip(edges, edges[1:], strict=False):
-                if hi - lo > 1:
-                    x, y = pairs(block[lo:hi], ids[lo:hi], part[lo:hi], least[lo:hi], short[lo:hi], u[lo], v[lo])
-                    a += x
-                    b += y
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in (a, b)], names=["a", "b"])
+                own = slice(lo, hi) if plain else lo + np.flatnonzero(member[lo:hi])
+                failed = slice(0, 0) if plain else lo + np.flatnonzero(~member[lo:hi])
+                bytes_ = short[lo:hi] if plain else [short[i] for i in own]
+                found.append((lo, *pairs(u[lo], v[lo], block[own], ids[own], part[own], least[own], bytes_, (ids[failed], other[failed]))))
+            at = np.repeat([lo for lo, *_ in found], [len(f[1]) for f in found]).astype(np.int64)
+            a, b, all_ = (np.concatenate([np.zeros(0, kind), *(f[i] for f in found)]) for i, kind in ((1, np.int64), (2, np.int64), (3, bool)))
+            out = pa.RecordBatch.from_arrays([*map(pa.array, (sig[at], u[at], v[at], a, b, all_))], names=schema.names)
             return out, table.slice(edges[-1])
 
         for batch in batches:
@@ -362,7 +407,52 @@ def _between(groups: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield work(held.combine_chunks(), True)[0]
 
-    return groups.mapInArrow(rows, schema).distinct()
+    return groups.mapInArrow(rows, schema)
+
+
+def _rest(members: DataFrame, first: DataFrame, wanted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) of documents that join components: `first` and what groups still hold.
+
+    members: (sig, class_id, role) of each group; first: (node, component) after the hubs. In rounds,
+    each two blocks of a group list pairs that would join their classes' components. Similar ones
+    join; blocks that had more to list and a pair that failed come again without it, and list eight
+    times as many, so rounds are few and a group of similar classes never lists all its pairs.
+    """
+    links = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    parts_of = lambda found: staging.stage(wanted.join(found, F.col("doc_id") == F.col("node"), "left").select(
+        "class_id", F.coalesce("component", "doc_id").alias("part")))
+    parts = parts_of(first)
+    mixed = staging.stage(members.join(parts, "class_id").groupBy("sig").agg(
+        F.count("*").alias("count"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("sig", "count"))
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    open_members = members.join(mixed, "sig").withColumn(
+        "block", F.pmod(F.xxhash64("class_id"), blocks).cast("int")).withColumn(
+        "with", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "sig", F.least("block", "with").alias("u"), F.greatest("block", "with").alias("v"), "block", "class_id", "role")
+    place = ["sig", "u", "v"]
+    bad, share = None, FIRST_SHARE
+    while True:
+        groups = open_members.join(parts, "class_id").join(
+            sets.select("class_id", "bytes0", "bytes1", "shared0", "shared1"), "class_id").select(
+            *place, "block", "class_id", "part",
+            F.when(F.col("role") == 0, F.col("bytes0")).otherwise(F.col("bytes1")).alias("bytes"),
+            F.when(F.col("role") == 0, F.col("shared0")).otherwise(F.col("shared1")).alias("shared"),
+            F.lit(None).cast("bigint").alias("other"))
+        if bad is not None:
+            groups = groups.unionByName(bad.select(*place, F.col("a").alias("class_id"), F.col("b").alias("other")), allowMissingColumns=True)
+        listed = staging.stage(_between(groups.repartition(*place).sortWithinPartitions(*place, "class_id"), share))
+        compared = staging.stage(_verify(listed.select("a", "b").distinct(), sets, percent))
+        links = links.unionAll(_links(compared))
+        failed = staging.stage(listed.where("not whole").join(
+            compared.where("not similar").select("a", "b"), ["a", "b"]).select(*place, "a", "b"))
+        if failed.isEmpty():
+            return links
+        joined = staging.stage(components(links))
+        links = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        parts = parts_of(joined)
+        open_members = staging.stage(open_members.join(failed.select(*place).distinct(), place, "left_semi"))
+        bad = failed if bad is None else staging.stage(bad.join(failed.select(*place).distinct(), place, "left_semi").unionAll(failed))
+        share *= 8
 
 
 def link(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -396,29 +486,8 @@ def link(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     sets = _fetch(documents, wanted, size, percent)
 
     to_hub = rare.where("class_id <> hub").select(F.col("class_id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = staging.stage(_verify(to_hub, sets, percent))
-    first = staging.stage(components(links))
-
-    # What the hubs did not join.
-    parts = staging.stage(wanted.join(first, F.col("doc_id") == F.col("node"), "left").select(
-        "class_id", F.coalesce("component", "doc_id").alias("part")))
-    members = staging.stage(rare.select("sig", "class_id", "role").join(parts, "class_id"))
-    mixed = staging.stage(members.groupBy("sig").agg(
-        F.count("*").alias("count"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("sig", "count"))
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    open_members = members.join(mixed, "sig").withColumn(
-        "block", F.pmod(F.xxhash64("class_id"), blocks).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_members = open_members.join(
-        sets.select("class_id", "bytes0", "bytes1", "shared0", "shared1"), "class_id").select(
-        "sig", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "class_id", "part",
-        F.when(F.col("role") == 0, F.col("bytes0")).otherwise(F.col("bytes1")).alias("bytes"),
-        F.when(F.col("role") == 0, F.col("shared0")).otherwise(F.col("shared1")).alias("shared"))
-    further = staging.stage(_between(
-        open_members.repartition("sig", "u", "v").sortWithinPartitions("sig", "u", "v", "class_id")))
-    more = staging.stage(_verify(further, sets, percent))
-    joined = staging.stage(components(more.unionAll(
-        first.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    first = staging.stage(components(staging.stage(_links(_verify(to_hub, sets, percent)))))
+    joined = staging.stage(components(_rest(rare.select("sig", "class_id", "role"), first, wanted, sets, percent)))
 
     of_class = copies.where("copies > 1").select("class_id", "rep")
     return signed.select("doc_id", "n_shingles", "class_id").join(of_class, "class_id", "left").withColumn(
