@@ -9,8 +9,8 @@ k elements must agree in a known number of signatures, not only in one. That sha
 without losing a pair:
 
 1. Signatures are ordered by hash. Of two similar sets, the first ones of each share at least `need`.
-   Only these are written. Those that no other set has are dropped; a set with fewer than `need`
-   left has no partner.
+   Only these are written. Those that no other set has are dropped, most of them by a map of fixed
+   size before they cross the network again; a set with fewer than `need` left has no partner.
 2. Of what is left, only the rarest signatures are looked at, as many as must hold a common one.
 3. Each set is verified against one hub in every group of sets with a common signature, the one with
    the most shared signatures. Verified links are merged to components.
@@ -58,6 +58,8 @@ SMALL = 3
 #: Parts of a sketch for each difference allowed.
 FINE = 4
 BLOCK = 512
+#: Bits of the map of shared signatures that tasks get (16 MB), and of one of its segments.
+MAP_BITS, SEGMENT = 1 << 27, 1 << 16
 #: Pairs a class that two blocks list at first, beside those that join components.
 FIRST_SHARE = 4
 MOST_SIZE = 1 << 40
@@ -261,6 +263,47 @@ def _sign(documents: DataFrame, size: int, percent: int) -> DataFrame:
     return documents.mapInArrow(rows, schema)
 
 
+def _bitmap(sigs: DataFrame) -> np.ndarray:
+    """Which lowest bits the signatures have, packed: MAP_BITS / 8 bytes, whatever the table's size."""
+    schema = staging.fields(segment="int", bits="binary")
+
+    def mark(key: tuple, own: pa.Table) -> pa.Table:
+        bits = np.zeros(SEGMENT, bool)
+        bits[own["at"].to_numpy()] = True
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    low = F.col("sig").bitwiseAND(F.lit(MAP_BITS - 1))
+    places = sigs.select(F.floor(low / SEGMENT).cast("int").alias("segment"), (low % SEGMENT).cast("int").alias("at")).distinct()
+    found = places.groupBy("segment").applyInArrow(mark, schema).toArrow()
+    out = np.zeros((MAP_BITS // SEGMENT, SEGMENT // 8), np.uint8)
+    for segment, bits in zip(found["segment"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[segment] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _marked(signed: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(sig, class_id, role, need) of the signatures that the map holds: all that it was made of, and a few others."""
+    schema = staging.fields(sig="bigint", class_id="bigint", role="tinyint", need="int")
+    sent = signed.sparkSession.sparkContext.broadcast(bitmap)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = batch.column(0).to_numpy()
+            for role in (0, 1):
+                lists, need = batch.column(1 + 2 * role), batch.column(2 + 2 * role).to_numpy()
+                sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                sigs = lists.flatten().to_numpy()
+                at = sigs & (MAP_BITS - 1)
+                there = np.flatnonzero(sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+                own = owner[there]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sigs[there]), pa.array(classes[own]), pa.array(np.full(len(own), role, np.int8)), pa.array(need[own])],
+                    names=schema.names)
+
+    return signed.select("class_id", "home", "home_need", "next", "next_need").mapInArrow(rows, schema)
+
+
 def _fetch(documents: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
     """Sets of the wanted (doc_id, class_id): sorted n-grams, and the sketch of each role."""
     schema = staging.fields(doc_id="bigint", class_id="bigint", grams="binary", bytes0="binary", bytes1="binary",
@@ -464,7 +507,8 @@ def link(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     tokens = role("home", 0).unionAll(role("next", 1))
     met = tokens.groupBy("sig").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"))
     twice = staging.stage(met.where("x <> y").select("sig"))
-    common = staging.stage(tokens.join(twice, "sig").distinct())
+    # Only what the map holds crosses the network again.
+    common = staging.stage(_marked(signed, _bitmap(twice)).join(twice, "sig").distinct())
 
     # The rarest signatures of each set, as many as must hold one that a similar set has among its own.
     often = staging.stage(common.groupBy("sig").count())
