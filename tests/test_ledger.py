@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,73 @@ def test_every_event_is_kept_a_copy_or_late(spark, tmp_path):
     again, metrics = lateness.run_split(stream(spark, str(tmp_path / "in")), folder=str(tmp_path / "out"))
     new = sorted(((r["event_id"], r["status"]) for r in again.collect()), key=str)
     assert new == sorted([*found, (5000, "late"), (5001, "kept"), (238, "copy")], key=str)
+
+
+# One pass over what a batch closes
+
+class Held:
+    """A SKU's state, timers and the number of moves that were read, in plain Python."""
+
+    def __init__(self):
+        self.timers, self.values, self.lists, self.read = set(), {}, {}, 0
+
+    def getValueState(self, name, schema):
+        held = self.values
+
+        class Value:
+            exists = staticmethod(lambda: name in held)
+            get = staticmethod(lambda: held.get(name))
+            update = staticmethod(lambda value: held.__setitem__(name, value))
+        return Value
+
+    def getListState(self, name, schema):
+        mine = self
+
+        class Rows:
+            @staticmethod
+            def get():
+                found = mine.lists.get(name, [])
+                mine.read += sum(len(r[0]) // ledger._MOVE.itemsize if len(r) == 1 else 1 for r in found)
+                return iter(list(found))
+            appendList = staticmethod(lambda rows: mine.lists.setdefault(name, []).extend(rows))
+            appendValue = staticmethod(lambda row: mine.lists.setdefault(name, []).append(row))
+            put = staticmethod(lambda rows: mine.lists.__setitem__(name, list(rows)))
+            clear = staticmethod(lambda: mine.lists.pop(name, None))
+        return Rows
+
+    def registerTimer(self, end):
+        self.timers.add(end)
+
+
+class Passed:
+    def __init__(self, end):
+        self.end = end
+
+    def getCurrentWatermarkInMs(self):
+        return self.end
+
+    def getExpiryTimeInMs(self):
+        return self.end
+
+
+def passes(hours, until):
+    """One input of a purchase an hour; then the timers that `until` hours have passed."""
+    held, book = Held(), ledger.StockLedger()
+    book.init(held)
+    at_hour = [T0 + dt.timedelta(hours=h) for h in range(hours)]
+    rows = pd.DataFrame({"sku": "a", "ts": at_hour, "kind": ledger.PURCHASE, "known": 1, "event_id": range(hours), "qty": 1})
+    list(book.handleInputRows(("a",), iter([rows]), Passed(0)))
+    now = int(T0.replace(tzinfo=dt.UTC).timestamp() * 1000) + until * ledger.HOUR_MS
+    out = []
+    while due := sorted(t for t in held.timers if t <= now):
+        held.timers.remove(due[0])
+        fired = Passed(due[0])
+        out += book.handleExpiredTimer(("a",), Passed(now), fired)
+    return held, pd.concat(out)
+
+
+def test_a_batch_that_closes_many_hours_reads_its_moves_once():
+    held, out = passes(500, 400)
+    assert held.read == 500
+    assert int(out["event_id"].notna().sum()) == 400 and sorted(out["event_id"].dropna()) == list(range(400))
+    assert len(held.timers) == 1  # the first of the hours that are still open

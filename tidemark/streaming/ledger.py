@@ -6,12 +6,15 @@ watermark's delay: they wait in the SKU's state until a timer at the end of thei
 and are then booked by ``(ts, kind, event_id)``. So the ledger is the same however the input was
 cut into batches, and equals a running sum over the finished table.
 
-State of a SKU (RocksDB): its stock, and the moves of the periods that are still open. Nothing is
-held of periods that are closed.
+State of a SKU (RocksDB): its stock, and the moves of the periods that are still open, packed to
+arrays. Nothing is held of periods that are closed. A timer books all periods that the watermark
+has passed in one pass and leaves a timer for the next open one, so that a batch that closes
+many periods reads their moves once.
 """
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,10 @@ HOUR_MS = 3_600_000
 LEDGER = (
     "sku string, ts timestamp, event_id bigint, remaining bigint, orders bigint, eta_oos_mins double"
 )
-_MOVE = "ts bigint, kind int, event_id bigint, qty bigint"
+#: A move as it waits in the state; `known` tells whether it has an event_id.
+_MOVE = np.dtype([("ts", "<i8"), ("kind", "i1"), ("known", "i1"), ("event_id", "<i8"), ("qty", "<i8")])
+#: Moves in one array of the state, and rows in one frame of the ledger.
+CHUNK = 20_000
 
 
 def moves(events: DataFrame, deliveries: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -56,46 +62,75 @@ class StockLedger(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.stock = handle.getValueState("stock", "qty bigint")
-        self.open = handle.getListState("open", _MOVE)
+        self.open = handle.getListState("open", "moves binary")
+
+    def _ends(self, moves: np.ndarray) -> np.ndarray:
+        """The end of each move's period, in milliseconds."""
+        return (moves["ts"] // 1000 // self.period_ms + 1) * self.period_ms
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
-            micros = batch["ts"].to_numpy("datetime64[us]").astype("int64")
-            ids = [None if pd.isna(i) else int(i) for i in batch["event_id"]]
-            new = list(zip(micros.tolist(), map(int, batch["kind"]), ids, map(int, batch["qty"]), strict=True))
-            self.open.appendList(new)
-            for end in {(t // 1000 // self.period_ms + 1) * self.period_ms for t in micros.tolist()}:
-                self.handle.registerTimer(end)
+            new = np.zeros(len(batch), _MOVE)
+            new["ts"] = batch["ts"].to_numpy("datetime64[us]").astype("int64")
+            for column in ("kind", "known", "event_id", "qty"):
+                new[column] = batch[column].to_numpy()
+            if len(new):
+                self.open.appendValue((new.tobytes(),))
+                end = int(self._ends(new).min())
+                first = end if first is None else min(first, end)
+        if first is not None:
+            self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        due, later = [], []
-        for move in self.open.get():
-            (due if move[0] < end * 1000 else later).append(move)
-        if later:
-            self.open.put(later)
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = [np.frombuffer(row[0], _MOVE) for row in self.open.get()]
+        if not held:  # a timer before this one has booked them
+            return
+        waiting = np.concatenate(held)
+        ends = self._ends(waiting)
+        due, later = waiting[ends <= passed], waiting[ends > passed]
+        if not len(due):
+            return
+        if len(later):
+            self.open.put([(later[i:i + CHUNK].tobytes(),) for i in range(0, len(later), CHUNK)])
+            self.handle.registerTimer(int(ends[ends > passed].min()))
         else:
             self.open.clear()
-        held = self.stock.get() if self.stock.exists() else None
-        left = held[0] if held is not None else None
-        out = []
-        for ts, kind, event_id, qty in sorted(due, key=lambda m: (m[0], m[1], m[2] if m[2] is not None else -1, m[3])):
-            if kind == DELIVERY:
-                left = qty
-            else:
-                left = None if left is None else left - qty
-                out.append((ts, event_id, left, None, None))
-        if left is not None:
-            self.stock.update((left,))
-        if out:
-            eta = None if left is None else 60.0 * max(left, 0) / len(out) * (self.period_ms / HOUR_MS)
-            out.append((end * 1000, None, left, len(out), eta))
-            frame = pd.DataFrame(out, columns=["ts", "event_id", "remaining", "orders", "eta_oos_mins"])
-            frame["ts"] = pd.to_datetime(frame["ts"], unit="us")
-            whole = {c: frame[c].astype("Int64") for c in ("event_id", "remaining", "orders")}
-            frame = frame.assign(**whole, sku=key[0], eta_oos_mins=frame["eta_oos_mins"].astype("float64"))
-            yield frame[["sku", "ts", "event_id", "remaining", "orders", "eta_oos_mins"]]
+        stock = self.stock.get() if self.stock.exists() else None
+        yield from self._book(key[0], due, None if stock is None else stock[0])
+
+    def _book(self, sku: str, due: np.ndarray, stock: int | None) -> Iterator[pd.DataFrame]:
+        """The rows of moves of closed periods; the stock that they leave goes to the state."""
+        due = due[np.lexsort([due[c] for c in ("qty", "event_id", "kind", "ts")])]
+        sold = due["kind"] == PURCHASE
+        number = np.cumsum(sold)
+        # What was there at the last delivery before each move, less what was sold since.
+        last = np.maximum.accumulate(np.where(sold, -1, np.arange(len(due))))
+        left = np.where(last >= 0, due["qty"][last] + number[last], 0 if stock is None else stock) - number
+        known = (last >= 0) | (stock is not None)
+        if known[-1]:
+            self.stock.update((int(left[-1]),))
+
+        ends = self._ends(due)
+        close = np.flatnonzero(np.append(ends[1:] != ends[:-1], True))  # the last move of each period
+        orders = np.diff(number[close], prepend=0)
+        close, orders = close[orders > 0], orders[orders > 0]
+        eta = 60.0 * np.maximum(left[close], 0) / orders * (self.period_ms / HOUR_MS)
+        at = np.flatnonzero(sold)
+        none = np.zeros(len(close), bool)
+        ts = np.concatenate([due["ts"][at], ends[close] * 1000])
+        columns = {
+            "event_id": (np.concatenate([due["event_id"][at], ends[close]]), np.concatenate([due["known"][at] != 0, none])),
+            "remaining": (np.concatenate([left[at], left[close]]), np.concatenate([known[at], known[close]])),
+            "orders": (np.concatenate([at, orders]), np.concatenate([np.zeros(len(at), bool), ~none])),
+        }
+        minutes = np.concatenate([np.full(len(at), np.nan), np.where(known[close], eta, np.nan)])
+        for i in range(0, len(ts), CHUNK):
+            part = slice(i, i + CHUNK)
+            whole = {c: pd.arrays.IntegerArray(v[part].astype("int64"), ~there[part]) for c, (v, there) in columns.items()}
+            yield pd.DataFrame({"sku": sku, "ts": ts[part].astype("datetime64[us]"), **whole, "eta_oos_mins": minutes[part]})
 
     def close(self) -> None:
         pass
@@ -106,6 +141,9 @@ def running_stock(stream: DataFrame, period_ms: int = HOUR_MS) -> DataFrame:
 
     Rows of purchases have an ``event_id``; rows that close a period have ``orders``.
     """
-    return stream.groupBy("sku").transformWithStateInPandas(
+    # Moves without an event come before those with one; whole numbers stay whole beside no nulls.
+    known = F.col("event_id").isNotNull().cast("tinyint").alias("known")
+    plain = stream.select("sku", "ts", "kind", known, F.coalesce("event_id", F.lit(-1).cast("bigint")).alias("event_id"), "qty")
+    return plain.groupBy("sku").transformWithStateInPandas(
         statefulProcessor=StockLedger(period_ms), outputStructType=LEDGER, outputMode="Append", timeMode="EventTime"
     )
