@@ -246,3 +246,10 @@ def test_a_batch_that_closes_many_hours_reads_its_moves_once():
     assert held.read == 500
     assert int(out["event_id"].notna().sum()) == 400 and sorted(out["event_id"].dropna()) == list(range(400))
     assert len(held.timers) == 1  # the first of the hours that are still open
+
+
+def test_hours_closed_in_one_pass_have_their_own_orders():
+    held, out = passes(300, 300)
+    closed = out[out["orders"].notna()]
+    assert held.read == 300 and len(closed) == 300 and set(closed["orders"]) == {1}
+    assert not held.timers and not held.lists and "stock" not in held.values  # no delivery: no stock
