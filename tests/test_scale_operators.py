@@ -101,6 +101,28 @@ def test_the_rarest_gram_is_looked_up(spark):
     assert [tuple(r) for r in keywords.keyword_hits(words, texts).collect()] == [("common zq7", "common zq7")]
 
 
+def test_totals_of_lists_meet_groups_and_not_their_products(spark):
+    """Lists that share a keyword and products that share a name: the counts are made without their pairs."""
+    rng = random.Random(9)
+    products = [(str(i), rng.choice(["Red Bolt", "red bolt", "blue bolt", "Nut", None])) for i in range(300)]
+    products += [("7", "blue bolt"), ("7", "x7"), (None, "nut"), (None, None)]
+    lists = [(i, [rng.choice(["bolt", "RED B", "nut"]), f"{i}7", rng.choice(["no such word", "7", "2"])]) for i in range(200)]
+    lists += [(None, ["nut", "99"]), (901, ["nothing"])]
+    frame = spark.createDataFrame(products, "sku string, category string").repartition(3)
+    asked = spark.createDataFrame(lists, "list_id int, keywords array<string>").repartition(3)
+    want = {}
+    for i, words in lists:
+        own = {sku for sku, category in products for w in words if any(t is not None and w.lower() in t.lower() for t in (sku, category))}
+        if own:
+            want[i] = (len(own), min((s for s in own if s is not None), default=None))
+    totals = keywords.match_lists(frame, asked, totals=True)
+    assert {r["list_id"]: (r["n_products"], r["first_sku"]) for r in totals.collect()} == want and 901 not in want
+    pairs = [tuple(r) for r in keywords.match_lists(frame, asked).collect()]
+    assert len(pairs) == len(set(pairs)) == sum(n for n, _ in want.values())
+    found, members = keywords.match_groups(frame, asked)
+    assert members.count() <= 2 * len(products) and found.count() < len(pairs) / 4
+
+
 # Incremental totals
 
 def lines(seed, n, first, last):

@@ -994,8 +994,7 @@ def keyword_lists(x):
     lists = parts.select(
         F.col("p_partkey").cast("string").alias("list_id"),
         F.array(F.upper(F.substring("p_name", 2, 6)), F.concat(F.col("p_partkey").cast("string"), F.lit("7"))).alias("keywords"))
-    return keywords.match_lists(x.products, lists, ("name", "sku")).groupBy("list_id").agg(
-        F.count(F.lit(1)).alias("n_products"), F.min("sku").alias("first_sku"))
+    return keywords.match_lists(x.products, lists, ("name", "sku"), totals=True)
 
 
 def delivered(x: Inputs) -> str:
