@@ -18,7 +18,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-CHUNK_BYTES = 1 << 20
+#: Texts that are hashed together; each byte takes some 50 bytes of arrays in the task meanwhile.
+CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
