@@ -58,8 +58,6 @@ SMALL = 3
 #: Parts of a sketch for each difference allowed.
 FINE = 4
 BLOCK = 512
-#: Rows of groups that a task takes from a batch at once.
-AT_ONCE = 2 * BLOCK
 #: Bits of the map of shared signatures that tasks get (16 MB), and of one of its segments.
 MAP_BITS, SEGMENT = 1 << 27, 1 << 16
 #: Pairs a class that two blocks list at first, beside those that join components.
@@ -423,7 +421,7 @@ def _between(groups: DataFrame, share: int) -> DataFrame:
         return ids[a[chosen]], ids[b[chosen]], np.full(len(chosen), len(chosen) == len(a))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held = None
 
         def work(table: pa.Table, whole: bool):
             """Handle all groups but the last, which may go on in the next batch."""
@@ -444,16 +442,13 @@ def _between(groups: DataFrame, share: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([*map(pa.array, (sig[at], u[at], v[at], a, b, all_))], names=schema.names)
             return out, table.slice(edges[-1])
 
-        place = lambda table, i: tuple(table[c][i].as_py() for c in names[:3])
         for batch in batches:
-            for lo in range(0, batch.num_rows, AT_ONCE):  # long texts have long sketches: few groups are copied at a time
-                held.append(pa.Table.from_batches([batch.slice(lo, AT_ONCE)]).select(names))
-                if place(held[0], 0) != place(held[-1], -1):
-                    out, left = work(pa.concat_tables(held).combine_chunks(), False)
-                    held = [left]
-                    yield out
-        if held:
-            yield work(pa.concat_tables(held).combine_chunks(), True)[0]
+            table = pa.Table.from_batches([batch]).select(names)
+            held = table if held is None else pa.concat_tables([held, table])
+            out, held = work(held.combine_chunks(), False)
+            yield out
+        if held is not None and held.num_rows:
+            yield work(held.combine_chunks(), True)[0]
 
     return groups.mapInArrow(rows, schema)
 
