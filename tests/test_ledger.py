@@ -253,3 +253,17 @@ def test_hours_closed_in_one_pass_have_their_own_orders():
     closed = out[out["orders"].notna()]
     assert held.read == 300 and len(closed) == 300 and set(closed["orders"]) == {1}
     assert not held.timers and not held.lists and "stock" not in held.values  # no delivery: no stock
+
+
+def test_a_new_checkpoint_has_no_more_state_partitions_than_asked_for(spark, tmp_path):
+    events, deliveries = case(4)
+    write(spark, str(tmp_path / "sold"), events, "events-0")
+    deliver(spark, str(tmp_path / "came"), deliveries, "came-0")
+    came = spark.readStream.schema(MOVES).option("recursiveFileLookup", True).parquet(str(tmp_path / "came"))
+    stocked = ledger.running_stock(ledger.moves(stream(spark, str(tmp_path / "sold")), came))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    folder = tmp_path / "run"
+    got = runner.run_to_table(stocked, "ledger", str(folder), most_partitions=2)
+    assert sorted(p.name for p in (folder / "checkpoint/state/0").iterdir() if p.name.isdigit()) == ["0", "1"]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before != "2"
+    assert sorted(map(tuple, got.collect()), key=str) == run(spark, str(tmp_path / "sold"), str(tmp_path / "came"), str(tmp_path / "plain"))

@@ -693,7 +693,9 @@ def stock_ledger(x: Inputs) -> DataFrame:
     came, path = deliveries(x), work_folder(x.spark, "deliveries")
     came.write.parquet(path)
     arriving = x.spark.readStream.schema(came.schema).parquet(path)
-    return runner.run_to_table(ledger.running_stock(ledger.moves(x.event_stream, arriving)), "ledger")
+    booked = ledger.running_stock(ledger.moves(x.event_stream, arriving))
+    # Every state partition starts a Python worker and a state store of its own in each batch: one a core.
+    return runner.run_to_table(booked, "ledger", most_partitions=x.spark.sparkContext.defaultParallelism)
 
 
 @query

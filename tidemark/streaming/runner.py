@@ -4,11 +4,14 @@ A stream runs until its input is used up, however long that takes. Rows and chec
 folders that the caller may name; a run that was cut off goes on from there when it is called
 again with the same ones, and repeats no row. Without names they get a fresh working folder.
 The session's settings are left alone; the number of state partitions is the number of shuffle
-partitions when a checkpoint begins.
+partitions when a checkpoint begins, or a smaller one that the caller asks for.
 """
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
@@ -16,13 +19,34 @@ from tidemark.operators.ranking import newest
 from tidemark.session import work_folder
 
 
-def run_to_table(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
-    """Process all available input in append mode; the finished rows as a table."""
+@contextmanager
+def _at_most(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Shuffle partitions bounded for streams that start within; a stream keeps the settings it started with."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if partitions is None or int(before) <= partitions:
+        yield
+        return
+    spark.conf.set(key, partitions)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def run_to_table(stream: DataFrame, label: str, folder: str | None = None, most_partitions: int | None = None) -> DataFrame:
+    """Process all available input in append mode; the finished rows as a table.
+
+    A new checkpoint has `most_partitions` state partitions at most; one that is there keeps its number.
+    """
     spark = stream.sparkSession
     base = folder or work_folder(spark, label)
-    stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows").option(
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows").option(
         "checkpointLocation", f"{base}/checkpoint"
-    ).trigger(availableNow=True).start().awaitTermination()
+    ).trigger(availableNow=True)
+    with _at_most(spark, most_partitions):
+        running = writer.start()
+    running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
