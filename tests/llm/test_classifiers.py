@@ -120,3 +120,27 @@ def test_long_texts_are_learned_from_all_over():
     assert short == [slice(0, 900)]
     assert len(long) == toxicity.WINDOWS and long[0].start == 900 and long[-1].stop == 100_900
     assert all(p.stop - p.start == toxicity.WINDOW_WORDS for p in long)
+
+
+def marked(spark, n=160, words=3000, at=300):
+    """Texts of which every second, the toxic ones, has one other word, at a place that windows of a long text leave out."""
+    docs = [(i, "en", " ".join("vile" if i % 2 and w == at else f"w{(w * 7 + i) % 50}" for w in range(words))) for i in range(n)]
+    return (spark.createDataFrame(docs, "doc_id bigint, lang string, text string"),
+            spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id bigint, toxic int"))
+
+
+def test_whole_texts_of_all_labelled_rows_are_learned_from(spark):
+    docs, labels = marked(spark)
+    repeated = docs.union(docs.where("doc_id < 20")).union(spark.createDataFrame([(None, "en", "vile"), (999, "en", "none")], docs.schema))
+    found = toxicity._labelled(repeated, labels.union(labels)).collect()
+    assert sorted((r["text"], r["toxic"]) for r in found) == sorted((r["text"], r["doc_id"] % 2) for r in docs.collect())
+    scores = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, labels).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if i % 2 == 0)
+
+
+def test_shards_learn_the_same_however_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 40)
+    docs, labels = marked(spark, words=40, at=7)
+    one, many = ({tuple(r) for r in toxicity.classify(d, labels).collect()} for d in (docs.coalesce(1), docs.repartition(7, F.rand(3))))
+    assert one == many and len({r[2] for r in one}) > 1
+    assert toxicity._labelled(docs, labels).select("shard").distinct().count() == 4
