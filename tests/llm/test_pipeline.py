@@ -1,6 +1,7 @@
 """The pipeline's stages against plain versions, and the registered queries against their SQL."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -46,6 +47,33 @@ def test_odd_documents_pass_all_stages(spark, odd):
     assert docs.count() == 0
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    """12 MB of texts in one task: no stage may hold them as one batch."""
+    setting = corpus_pipeline.staging.BATCH_SETTING
+    before = spark.conf.get(setting, None)
+    docs = spark.range(3000).selectExpr(
+        "id AS doc_id", "repeat(concat('w', id, ' '), 800) AS text", "'en' AS lang", "'a' AS source").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name == "surrogates":  # without Python
+                continue
+            spark.conf.unset(setting)
+            stage(spark, docs.limit(0), SMALL)
+            found = docs.mapInArrow(sizes, "n bigint, bytes bigint").collect()
+            assert sum(r["n"] for r in found) == 3000
+            assert max(r["bytes"] for r in found) < 3 << 20, name
+        spark.conf.set(setting, "1m")
+        corpus_pipeline.staging.small_batches(spark)
+        assert spark.conf.get(setting) == "1m"
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()

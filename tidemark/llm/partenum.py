@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import staging
 from tidemark.llm.components import components
-from tidemark.llm.wordhash import LOWER, SPACE, chunks, mix, runs, slice_hashes, spans
+from tidemark.llm.wordhash import LOWER, SMALL_CHUNK, SPACE, chunks, mix, runs, slice_hashes, spans
 
 _U = np.uint64
 _PART = _U(0x8CB92BA72F3D8DD7)
@@ -242,7 +242,7 @@ def _sign(documents: DataFrame, size: int, percent: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             known = np.asarray(batch.column(0).is_valid())
-            for lo, hi, data, offsets in chunks(batch.column(1)):
+            for lo, hi, data, offsets in chunks(batch.column(1), SMALL_CHUNK):
                 sets = Sets(data, offsets, size)
                 new = np.zeros(hi - lo, bool)
                 for i in np.flatnonzero(known[lo:hi] & (sets.sizes >= b.least)).tolist():
@@ -312,7 +312,7 @@ def _fetch(documents: DataFrame, wanted: DataFrame, size: int, percent: int) ->
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bands(percent)
         for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(1)):
+            for lo, hi, data, offsets in chunks(batch.column(1), SMALL_CHUNK):
                 sets = Sets(data, offsets, size)
                 home = sets.home(b)
                 after = np.where((home >= 0) & (sets.sizes >= b.low[np.minimum(home + 1, len(b.low) - 1)]), home + 1, -1)

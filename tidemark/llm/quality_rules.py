@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import staging
-from tidemark.llm.wordhash import SPACE, chunks, repeated, runs, slice_hashes, spans
+from tidemark.llm.wordhash import SMALL_CHUNK, SPACE, chunks, repeated, runs, slice_hashes, spans
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -102,7 +102,7 @@ def with_features(documents: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(1)):
+            for lo, hi, data, offsets in chunks(batch.column(1), SMALL_CHUNK):
                 found = features(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), *[pa.array(found[f], pa.int64()) for f in FEATURES]],
@@ -221,7 +221,7 @@ def keep(documents: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     learned, _ = learn(_voted(with_features(documents)), list(rules()))
 
     def rows(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
-        for lo, hi, data, offsets in chunks(texts):
+        for lo, hi, data, offsets in chunks(texts, SMALL_CHUNK):
             found = features(data, offsets)
             yield lo, hi, [pa.array(found[f], pa.int64()) for f in FEATURES]
 

@@ -50,6 +50,21 @@ def send_package(spark: SparkSession) -> None:
     _sent.add(context.applicationId)
 
 
+#: Most bytes of the rows that go to a Python worker at once, and the setting that bounds them.
+BATCH_BYTES = "2m"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python workers BATCH_BYTES at a time, unless the session sets a size of its own.
+
+    By rows alone, 10,000 texts of 3 KB are one batch: a task then holds it in vectors that double as
+    they grow, outside the heap, and its worker holds it with the one before.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` and return what was written."""
     spark = df.sparkSession

@@ -19,6 +19,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 CHUNK_BYTES = 1 << 20
+#: For chunks of which many arrays are held, and the smallest table of powers.
+SMALL_CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -36,7 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, of at least `n` places."""
-    size = max(CHUNK_BYTES, 1 << max(n, 1).bit_length())
+    size = max(SMALL_CHUNK, 1 << max(n, 1).bit_length())
     if size not in _powers:
         _powers.clear()
         for base in (_BASE, pow(_BASE, -1, 2**64)):
