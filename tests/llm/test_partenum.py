@@ -185,3 +185,33 @@ def test_a_dense_group_lists_fewer_pairs_than_classes(spark, monkeypatch):
     found = partenum.link(frame, 5, 80).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == component
     assert all(pairs <= (1 + partenum.FIRST_SHARE) * members for members, pairs in listed[:1])
+
+
+def test_pairs_verified_with_a_hub_are_not_listed_again(spark, monkeypatch):
+    """Pairs of texts with common signatures that are not similar: their only pair is the hub's."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(30):
+        base = [f"t{i}w{j}" for j in range(120)]
+        for k in range(2):
+            own = list(base)
+            if k:
+                for j in rng.sample(range(120), 5):
+                    own[j] = f"x{i}e{j}"
+            rows.append((2 * i + k, " ".join(own)))
+    _, component = brute(rows, 5, 80)
+    assert len(set(component.values())) > 30
+    members = []
+    between = partenum._between
+    monkeypatch.setattr(partenum, "_between", lambda groups, share: members.append(groups.count()) or between(groups, share))
+    found = partenum.link(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == component
+    assert members == [0]
+
+
+def test_groups_with_the_same_members_are_taken_once(spark):
+    rows = [(1, 10, 0, 1), (1, 20, 0, 2), (2, 20, 0, 2), (2, 10, 0, 1),  # the same
+            (3, 10, 0, 1), (3, 20, 1, 2), (4, 10, 0, 1), (4, 20, 0, 2), (4, 30, 0, 2),  # another role, another member
+            (5, 20, 0, 2), (5, 30, 0, 2), (6, 10, 0, 1)]  # one component
+    found = partenum._mixed(spark.createDataFrame(rows, "sig bigint, class_id bigint, role tinyint, part bigint"))
+    assert sorted(map(tuple, found.collect())) == [(1, 2), (3, 2), (4, 3)]

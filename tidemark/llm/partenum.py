@@ -14,7 +14,7 @@ without losing a pair:
 2. Of what is left, only the rarest signatures are looked at, as many as must hold a common one.
 3. Each set is verified against one hub in every group of sets with a common signature, the one with
    the most shared signatures. Verified links are merged to components.
-4. Groups that still hold several components are searched for further pairs, between components
+4. Groups that hold several components without their hub, each set of members once, are searched for further pairs, between components
    only: sketches of a finer partition are compared, a byte a part, and pairs are verified if as many
    bytes agree as must. Large groups are split into blocks, so that a task holds two blocks at most.
    Two blocks list no more pairs than would join their components; only those of which a pair fails
@@ -453,10 +453,21 @@ def _between(groups: DataFrame, share: int) -> DataFrame:
     return groups.mapInArrow(rows, schema)
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """(sig, count): groups of members (sig, class_id, role, part) of several components.
+
+    Of groups with the same members (by 128 bits of hashes), which would list the same pairs, one is taken.
+    """
+    groups = members.groupBy("sig").agg(
+        F.count("*").alias("count"), F.min("part").alias("x"), F.max("part").alias("y"),
+        F.bit_xor(F.xxhash64("class_id", "role")).alias("m"), F.bit_xor(F.xxhash64("role", "class_id")).alias("n"))
+    return groups.where("x <> y").groupBy("count", "m", "n").agg(F.min("sig").alias("sig")).select("sig", "count")
+
+
 def _rest(members: DataFrame, first: DataFrame, wanted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All links (a, b) of documents that join components: `first` and what groups still hold.
 
-    members: (sig, class_id, role) of each group; first: (node, component) after the hubs. In rounds,
+    members: (sig, class_id, role) of each group without its hub; first: (node, component) after the hubs. In rounds,
     each two blocks of a group list pairs that would join their classes' components. Similar ones
     join; blocks that had more to list and a pair that failed come again without it, and list eight
     times as many, so rounds are few and a group of similar classes never lists all its pairs.
@@ -465,8 +476,7 @@ def _rest(members: DataFrame, first: DataFrame, wanted: DataFrame, sets: DataFra
     parts_of = lambda found: staging.stage(wanted.join(found, F.col("doc_id") == F.col("node"), "left").select(
         "class_id", F.coalesce("component", "doc_id").alias("part")))
     parts = parts_of(first)
-    mixed = staging.stage(members.join(parts, "class_id").groupBy("sig").agg(
-        F.count("*").alias("count"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("sig", "count"))
+    mixed = staging.stage(_mixed(members.join(parts, "class_id")))
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     open_members = members.join(mixed, "sig").withColumn(
         "block", F.pmod(F.xxhash64("class_id"), blocks).cast("int")).withColumn(
@@ -531,7 +541,8 @@ def link(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 
     to_hub = rare.where("class_id <> hub").select(F.col("class_id").alias("a"), F.col("hub").alias("b")).distinct()
     first = staging.stage(components(staging.stage(_links(_verify(to_hub, sets, percent)))))
-    joined = staging.stage(components(_rest(rare.select("sig", "class_id", "role"), first, wanted, sets, percent)))
+    others = rare.where("class_id <> hub").select("sig", "class_id", "role")  # pairs with a hub are verified
+    joined = staging.stage(components(_rest(others, first, wanted, sets, percent)))
 
     of_class = copies.where("copies > 1").select("class_id", "rep")
     return signed.select("doc_id", "n_shingles", "class_id").join(of_class, "class_id", "left").withColumn(
