@@ -14,9 +14,9 @@ without losing a pair:
 2. Of what is left, only the rarest signatures are looked at, as many as must hold a common one.
 3. Each set is verified against one hub in every group of sets with a common signature, the one with
    the most shared signatures. Verified links are merged to components.
-4. Groups that hold several components without their hub, each set of members once, are searched for further pairs, between components
-   only: sketches of a finer partition are compared, a byte a part, and pairs are verified if as many
-   bytes agree as must. Large groups are split into blocks, so that a task holds two blocks at most.
+4. Groups that hold several components without their hub are searched for further pairs, each set of
+   members once, between components only: sketches of a finer partition are compared, a byte a part,
+   and pairs are verified if as many bytes agree as must. Large groups are split into blocks, so that a task holds two blocks at most.
    Two blocks list no more pairs than would join their components; only those of which a pair fails
    come again, without it, and list more (`_rest`).
 
